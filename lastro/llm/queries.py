@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.llm import lines, splits, truncation
+from lastro.llm import history, lines, overlap, splits, truncation
 from lastro.session import table, written
 
 PROPORTIONS = {"train": 0.8, "val_sel": 0.08, "val_calib": 0.04, "test": 0.08}
@@ -94,7 +94,44 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.hidden_limits(texts)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return history.keyed(table(spark, d, "checagens"), "checagem_id", ["lote", "checagem_id"], "url", "titulo", "trecho")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that repeats an accepted one, all batches resolved in their order."""
+    records = written(_keyed(spark, d))
+    done = history.resolve(records, history.content_links(records)).where(F.col("duplicate_of").isNotNull())
+    return done.select(F.col("duplicate_of").alias("checagem_id_a"), F.col("id").alias("checagem_id_b"))
+
+
+def p4_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The last batch against the registry of all accepted before it, which the earlier batches built."""
+    records = written(_keyed(spark, d))
+    last = records.agg(F.max("pos.lote")).first()[0]
+    earlier = written(records.where(F.col("pos.lote") < last))
+    accepted = history.resolve(earlier, history.content_links(earlier)).where(F.col("duplicate_of").isNull()).select("id")
+    registry = history.Registry()
+    registry.append(earlier.join(accepted, "id", "left_semi"))
+    return registry.check(records.where(F.col("pos.lote") == last)).select(F.col("id").alias("checagem_id"), F.col("duplicate_of").alias("repete"))
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.overlaps(overlap.sided(table(spark, d, "v6_pool"), table(spark, d, "v6_splits"), "rid", "text_no_url", "split_full_iid"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.expanded(*_overlaps(spark, d))
+    return pairs.select(F.least("train_id", "eval_id").alias("rid_a"), F.greatest("train_id", "eval_id").alias("rid_b")).where("rid_a <> rid_b").distinct()
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap per side, publisher and channel."""
+    of = table(spark, d, "v6_pool").select(F.col("rid").alias("id"), "publisher", "channel")
+    return overlap.counts(*_overlaps(spark, d), of)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
 SQL = {
     "p1_found": """
 WITH lados AS (
