@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.llm import history, lines, overlap, splits, truncation
+from lastro.llm import encoding, history, lines, overlap, splits, truncation
 from lastro.session import table, written
 
 PROPORTIONS = {"train": 0.8, "val_sel": 0.08, "val_calib": 0.04, "test": 0.08}
@@ -94,6 +94,32 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.hidden_limits(texts)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The three fields that may be garbled, in one shape."""
+    fields = (("checagens", "titulo", "checagem_id"), ("fonte_evidencia", "titulo", "fonte_id"), ("corpo_lido", "texto_completo", "corpo_id"))
+    parts = [table(spark, d, t).where(F.length(c) > 0).select(F.lit(t).alias("tabela"), F.col(i).alias("registro_id"), F.col(c).alias("texto")) for t, c, i in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _encoding_model(spark: SparkSession, d: str) -> encoding.Model:
+    return encoding.fit(_texts(spark, d).where("tabela <> 'corpo_lido'"), "texto")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.judged(_texts(spark, d), ["tabela", "registro_id"], "texto", _encoding_model(spark, d)).select("tabela", "registro_id")
+
+
+def p2_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled records with the chains their words went through."""
+    return encoding.judged(_texts(spark, d), ["tabela", "registro_id"], "texto", _encoding_model(spark, d))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled records with their text restored as far as it can be."""
+    done = encoding.restored(_texts(spark, d), ["tabela", "registro_id"], "texto", _encoding_model(spark, d))
+    return done.where("mudou OR perda")
+
+
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return history.keyed(table(spark, d, "checagens"), "checagem_id", ["lote", "checagem_id"], "url", "titulo", "trecho")
 
@@ -131,7 +157,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.counts(*_overlaps(spark, d), of)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
 SQL = {
     "p1_found": """
 WITH lados AS (
