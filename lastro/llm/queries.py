@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.llm import encoding, history, lines, overlap, splits, truncation
+from lastro.llm import boilerplate, encoding, history, lines, overlap, splits, truncation
 from lastro.session import table, written
 
 PROPORTIONS = {"train": 0.8, "val_sel": 0.08, "val_calib": 0.04, "test": 0.08}
@@ -120,6 +120,23 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return done.where("mudou OR perda")
 
 
+def _page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The three fields that hold page text, in one shape."""
+    fields = (("corpo_lido", "texto_completo", "corpo_id"), ("corpo_lido", "trecho_corpo", "corpo_id"), ("extracao", "texto", "extracao_id"))
+    parts = [table(spark, d, t).select(F.lit(f"{t}.{c}").alias("campo"), F.col(i).alias("id"), "url", "titulo", F.col(c).alias("texto")) for t, c, i in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture(_page_rows(spark, d)).select("campo", F.col("id").alias("registro_id"), "linha_no")
+
+
+def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every page text with only the lines of its story."""
+    rows = _page_rows(spark, d)
+    return boilerplate.main_text(rows, written(boilerplate.furniture(rows))).withColumnRenamed("id", "registro_id")
+
+
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return history.keyed(table(spark, d, "checagens"), "checagem_id", ["lote", "checagem_id"], "url", "titulo", "trecho")
 
@@ -157,7 +174,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.counts(*_overlaps(spark, d), of)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p3_found, p3_main_text, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
 SQL = {
     "p1_found": """
 WITH lados AS (
