@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.llm import boilerplate, encoding, history, lines, overlap, splits, truncation
+from lastro.llm import boilerplate, encoding, history, lines, mixing, overlap, packing, splits, truncation
 from lastro.session import table, written
 
 PROPORTIONS = {"train": 0.8, "val_sel": 0.08, "val_calib": 0.04, "test": 0.08}
@@ -81,6 +81,35 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.rebuilt(pages, "corpo_id", "texto_completo", places).select(F.col("doc_id").alias("corpo_id"), "texto_limpo", "linhas_removidas")
 
 
+def _capacity(spark: SparkSession, d: str, name: str = "medio") -> int:
+    return table(spark, d, "recipientes").where(F.col("nome") == name).first()["capacidade_tokens"]
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in containers of the middle size."""
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", _capacity(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Room used per container size."""
+    out = None
+    for r in table(spark, d, "recipientes").orderBy("recipiente_id").collect():  # a fixed table of three rows
+        packed = written(packing.pack(table(spark, d, "documents"), "doc_id", "text", r["capacidade_tokens"]))
+        row = packing.usage(packed, r["capacidade_tokens"]).withColumn("nome", F.lit(r["nome"]))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: documents with their number of copies."""
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mistura_alvo"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares that the mix reaches, per target source."""
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mistura_alvo"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text").where("cut").select("doc_id")
 
@@ -174,7 +203,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.counts(*_overlaps(spark, d), of)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p3_found, p3_main_text, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p10_found, p10_shares, p10_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p3_found, p3_main_text, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shares, p10_limits)}
 SQL = {
     "p1_found": """
 WITH lados AS (
