@@ -5,7 +5,8 @@ probability. The flight phase moves the probabilities of three documents at a ti
 (documents and tokens of the source), so every step fixes one at 0 or 1 and leaves both totals as they were. Sources are
 cut into blocks of bounded size that fly on their own; what a block cannot fix (at most two documents) flies on with the
 other blocks' rests, and the last two of a source land on the choice nearest to its tokens. Documents fly largest first, so
-that those left to land are small.
+that those left to land are small; where one larger than its source's whole share lands, what it leaves open is closed with
+small documents.
 
 The total is the largest at which every source that has documents reaches its share within its repetitions, unless a
 smaller or larger one is asked for; beyond it, short sources give all their repetitions and their shares come out low.
@@ -29,10 +30,15 @@ from lastro.session import written
 
 BLOCK_ROWS = 50_000
 EPS = 1e-9
+#: How many times the next size makes an outlier.
+OUTLIER = 3
 
 
 def flight(pi: list[float], size: list[int], rng: random.Random) -> list[float]:
-    """Probabilities moved to 0 or 1 with their sum and the sum of pi x size unchanged, but for at most two left between."""
+    """Probabilities moved to 0 or 1 with the sum of pi x size unchanged, and their own sum but for outliers; at most two are left between.
+
+    Sizes descend; each step keeps every probability's expectation.
+    """
     pi = list(pi)
     active: list[int] = []
     for k in [*range(len(pi)), None]:
@@ -43,6 +49,9 @@ def flight(pi: list[float], size: list[int], rng: random.Random) -> list[float]:
             u = (c - b, a - c, b - a)
             if not any(u):  # equal sizes: any two may trade
                 u = (1, -1, 0)
+            elif a > OUTLIER * b:
+                # One far larger than the rest hardly moves while their number is kept, so it trades tokens alone.
+                u = (b / a, -1, 0)
             up = min((1 - pi[i]) / d if d > 0 else pi[i] / -d for i, d in zip(active, u, strict=True) if d)
             down = min(pi[i] / d if d > 0 else (1 - pi[i]) / -d for i, d in zip(active, u, strict=True) if d)
             step = up if rng.random() * (up + down) < down else -down
@@ -69,6 +78,33 @@ def rates(per_source: list[tuple[str, float, int, int]], total: float | None = N
     return {s: (min(float(r), want * w / share / t), want * w / share) for s, w, r, t in live}
 
 
+def closed(landed: DataFrame, goals: dict[str, float]) -> DataFrame:
+    """(source, id, tokens, flip): the few documents to take or leave so that a landing on a very large one is made good.
+
+    A source that landed short takes, and one that landed over leaves, documents in hash order as long as they fit into what
+    is missing. That is at most one document's size, so the documents asked are a hash sample of a few times as many tokens,
+    whatever the size of the source.
+    """
+    spark = landed.sparkSession
+    had = {r["source"]: r["t"] for r in landed.groupBy("source").agg(F.sum((F.col("whole") + F.col("pi")) * F.col("tokens")).alias("t")).collect()}
+    gaps = spark.createDataFrame([(s, float(t - had.get(s, 0.0))) for s, t in goals.items()], "source string, gap double")
+    fits = landed.join(F.broadcast(gaps), "source").where((F.col("tokens") <= F.abs("gap")) & (F.col("pi") == F.when(F.col("gap") > 0, 0.0).otherwise(1.0)))
+    supply = fits.groupBy("source").agg(F.sum("tokens").alias("supply"))
+    share = F.least(F.lit(1.0), 8 * F.abs("gap") / F.col("supply"))
+    asked = fits.join(F.broadcast(supply), "source").withColumn("o", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000))).where(F.col("o") < share * 1_000_000)
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, rows = abs(pdf["gap"].iloc[0]), []
+        for r in pdf.sort_values(["o", "id"]).itertuples():
+            if r.tokens <= left:
+                rows.append((r.source, r.id, r.tokens, True))
+                left -= r.tokens
+        return pd.DataFrame(rows, columns=["source", "id", "tokens", "flip"])
+
+    kind = landed.schema["id"].dataType.simpleString()
+    return asked.select("source", "id", "tokens", "gap", "o").groupBy("source").applyInPandas(take, f"source string, id {kind}, tokens int, flip boolean")
+
+
 def mix(docs: DataFrame, id: str, source: str, text: str, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix (id, source, tokens, copias; rows with copies only) and its report per source of ``targets`` (source, peso_alvo, max_repeticoes).
 
@@ -103,7 +139,10 @@ def mix(docs: DataFrame, id: str, source: str, text: str, targets: DataFrame, to
     rows = sized.join(F.broadcast(plan), "source").withColumn("block", F.pmod(F.xxhash64("id", "tokens"), F.col("blocks")))
     first = written(rows.select("id", "source", "tokens", "whole", "pi", "block", order).groupBy("source", "block").applyInPandas(fly(False), schema))
     rest = first.where("pi > 0 AND pi < 1").select("*", order).groupBy("source").applyInPandas(fly(True), schema)
-    out = first.where("pi = 0 OR pi = 1").unionByName(rest).withColumn("copias", F.col("whole") + F.col("pi").cast("int")).where("copias > 0").select("id", "source", "tokens", "copias")
+    landed = written(first.where("pi = 0 OR pi = 1").unionByName(rest))
+    flipped = closed(landed, {s: t for s, (r, t) in rate.items() if r < wanted[s][1]})
+    pi = F.when(F.col("flip"), 1 - F.col("pi")).otherwise(F.col("pi"))
+    out = landed.join(F.broadcast(flipped), ["source", "id", "tokens"], "left").withColumn("copias", F.col("whole") + pi.cast("int")).where("copias > 0").select("id", "source", "tokens", "copias")
     out = written(out)
     got = out.groupBy("source").agg(F.sum(F.col("tokens").cast("long") * F.col("copias")).alias("tokens_obtidos"), F.count("*").alias("documentos"), F.sum("copias").alias("copias"), F.max("copias").alias("mais_repetido"))
     goal = spark.createDataFrame([(s, w, r, sums.get(s, (0, 0))[1], float(rate.get(s, (0.0, 0.0))[1])) for s, (w, r) in wanted.items()], "source string, peso_alvo double, max_repeticoes int, documentos_fonte long, tokens_alvo double")

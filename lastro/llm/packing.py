@@ -124,7 +124,8 @@ def pack(docs: DataFrame, id: str, text: str, capacity: int, good: float = 0.98)
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    sized = written(docs.where(F.length(text) > 0).select(F.col(id).alias("id"), n_tokens(F.col(text)).alias("tokens"), keys(projection(F.col(text))).alias("key")).where("tokens > 0"))
+    points = written(docs.where(F.length(text) > 0).select(F.col(id).alias("id"), n_tokens(F.col(text)).alias("tokens"), projection(F.col(text)).alias("point")))
+    sized = written(points.where("tokens > 0").select("id", "tokens", keys(F.col("point")).alias("key")))
     whole = F.floor(F.col("tokens") / capacity).cast("int")
     rest = F.col("tokens") - whole * capacity
     full = sized.where(whole > 0).select("id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("parte")).select(F.concat_ws("-", F.lit("c"), "id", "parte").alias("container"), "id", "parte", F.lit(capacity).alias("tokens"))
