@@ -33,7 +33,7 @@ def i02_events(s, d):
 
 def i03_blocks(s, d):
     r = _judged(s, d).withColumn("ok", ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int"))
-    g = r.rollup("confiabilidade", "y").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("acuracia"), F.grouping_id().cast("int").alias("nivel"))
+    g = r.rollup("confiabilidade", "y").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("acuracia"), F.grouping_id().cast("int").alias("nivel")).withColumn("y", F.col("y").cast("double"))
     return g
 
 
@@ -145,7 +145,7 @@ _AUC = "SELECT {0} sum(pos*(below+neg/2.0))/nullif(sum(pos)*sum(neg),0) AS auc F
 SQL = {
     "i01_registry": "SELECT agencia, count(*) n, count(veredito) com_veredito, count(*) FILTER (origem='claimreview') claimreview, count(*) FILTER (veredito='falso') falso FROM checagens GROUP BY 1",
     "i02_events": "SELECT user_id, count(*) n, count(*) FILTER (event_type='error') erros, round(sum(value),4) valor, arg_max(event_type, {'t':ts,'i':event_id}) ultimo FROM events GROUP BY 1",
-    "i03_blocks": f"SELECT confiabilidade, y, count(*) n, round(avg(((p>=.5)::INT=y)::INT),6) acuracia, grouping_id(confiabilidade,y)::INT nivel FROM {_JUDGED} GROUP BY ROLLUP(confiabilidade,y)",
+    "i03_blocks": f"SELECT confiabilidade, y::DOUBLE y, count(*) n, round(avg(((p>=.5)::INT=y)::INT),6) acuracia, grouping_id(confiabilidade,y)::INT nivel FROM {_JUDGED} GROUP BY ROLLUP(confiabilidade,y)",
     "i04_wilson": f"SELECT confiabilidade, k::BIGINT k, n, round(greatest(0,(p+z*z/(2*n)-z*sqrt(p*(1-p)/n+z*z/(4*n*n)))/(1+z*z/n)),6) low, round(least(1,(p+z*z/(2*n)+z*sqrt(p*(1-p)/n+z*z/(4*n*n)))/(1+z*z/n)),6) high FROM (SELECT confiabilidade, sum(y) k, count(*) n, sum(y)/count(*) p, 1.96 z FROM {_JUDGED} GROUP BY 1)",
     "i05_balanced": f"SELECT round(avg(r),6) acuracia_balanceada, round(min(r),6) pior FROM (SELECT avg(((p>=.5)::INT=y)::INT) r FROM {_JUDGED} GROUP BY y)",
     "i06_auc": f"WITH j AS (SELECT * FROM {_JUDGED}) SELECT confiabilidade, round(auc,6) auc FROM ({_AUC.format('confiabilidade,', 'PARTITION BY confiabilidade')})",
