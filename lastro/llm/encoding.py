@@ -233,6 +233,8 @@ def judged(texts: DataFrame, keys: list[str], column: str, model: Model) -> Data
                         lost += gone
                 if found:
                     rows.append((i, "; ".join(f"{c} {n}" for c, n in sorted(found.items())), sum(found.values()), lost))
+            if not rows:
+                continue
             out = pdf.iloc[[r[0] for r in rows]][keys].reset_index(drop=True)
             out["cadeias"], out["palavras"], out["perdidas"] = [r[1] for r in rows], np.array([r[2] for r in rows], "int32"), np.array([r[3] for r in rows], "int32")
             yield out

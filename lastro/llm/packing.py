@@ -150,7 +150,8 @@ def pack(docs: DataFrame, id: str, text: str, capacity: int, good: float = 0.98)
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=["container", "key", "id", "parte", "tokens"])
                     out = []
-            yield pd.DataFrame(out, columns=["container", "key", "id", "parte", "tokens"])
+            if out:
+                yield pd.DataFrame(out, columns=["container", "key", "id", "parte", "tokens"])
 
         return run
 
