@@ -26,6 +26,7 @@ def unframed(c: Column) -> Column:
 
 def polarity(c: Column) -> Column:
     """Struct (core, negated): a claim said false, or with one plain negation, as its affirmative core."""
+    c = F.translate(c, "\u00a0", " ")
     framed = F.regexp_extract(c, r"(?iu)^(?:é falso que|não há provas de que|é enganoso dizer que|vídeo não mostra que)\s+(.*)$", 1)
     n = F.regexp_count(F.lower(c), F.lit(r"(?<!\p{L})não(?!\p{L})"))
     single = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?iu)(?<!\p{L})não(?!\p{L})[,]?", ""), r"\s+", " "))

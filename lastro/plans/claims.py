@@ -50,7 +50,7 @@ _FRAMED = "regexp_extract(titulo, '(?i)^(?:é falso que|não há provas de que|
 SQL = {
     "b11_first_sentence": "SELECT checagem_id, left(CASE WHEN f <> '' THEN f ELSE trim(trecho) END, 250) frase FROM (SELECT *, regexp_extract(trim(trecho), '^(.*?[.!?])(?:\\s|$)', 1) f FROM checagens)",
     "b15_unframed": "WITH t AS (SELECT rid, text_no_url, trim(regexp_replace(regexp_replace(regexp_replace(text_no_url, '(?i)" + c.FRAMES + "', ''), '(?i)" + c.TIME_WORDS + "', '', 'g'), '\\s+', ' ', 'g')) o FROM v6_pool) SELECT rid, CASE WHEN len(string_split(o, ' ')) < 3 THEN text_no_url ELSE o END texto FROM t",
-    "b16_polarity": f"SELECT checagem_id, CASE WHEN f <> '' THEN f WHEN n = 1 THEN trim(regexp_replace(regexp_replace(' ' || titulo || ' ', '(?i)([^\\p{{L}}])não,?([^\\p{{L}}])', '\\1\\2'), '\\s+', ' ', 'g')) ELSE titulo END core, f <> '' OR n = 1 negated FROM (SELECT *, {_FRAMED} f, {_N} n FROM checagens WHERE titulo IS NOT NULL)",
+    "b16_polarity": f"SELECT checagem_id, CASE WHEN f <> '' THEN f WHEN n = 1 THEN trim(regexp_replace(regexp_replace(' ' || titulo || ' ', '(?i)([^\\p{{L}}])não,?([^\\p{{L}}])', '\\1\\2'), '\\s+', ' ', 'g')) ELSE titulo END core, f <> '' OR n = 1 negated FROM (SELECT *, {_FRAMED} f, {_N} n FROM (SELECT checagem_id, replace(titulo, chr(160), ' ') titulo FROM checagens WHERE titulo IS NOT NULL))",
     "b17_claims": "WITH t AS (SELECT rid, list_filter(string_split(regexp_replace(trim(text_no_url), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 25)[1:3] c FROM v6_pool) SELECT rid, (i - 1)::INTEGER pos, c[i] afirmacao FROM (SELECT rid, c, unnest(range(1, len(c) + 1)) i FROM t)",
     "b18_masked": "SELECT rid, regexp_replace(regexp_replace(regexp_replace(text_no_url, 'https?://\\S+', '[URL]', 'g'), '[0-9][0-9.,]*', '[NUM]', 'g'), '\\p{Lu}\\p{Ll}+(?:\\s+\\p{Lu}\\p{Ll}+)+', '[NOME]', 'g') texto FROM v6_pool",
     "e02_navigation": "WITH t AS (SELECT metodo, list_filter(string_split(texto, chr(10)), lambda x: length(trim(x)) > 0) l, len(regexp_split_to_array(trim(texto), '\\s+')) w, len(regexp_extract_all(texto, '[.!?](?:\\s|$)')) s FROM extracao WHERE length(trim(texto)) > 0) SELECT metodo, count(*) n, count(*) FILTER ((len(l) >= 8 AND len(list_filter(l, lambda x: length(x) < 40)) > .6 * len(l)) OR (w >= 80 AND s < .01 * w)) navegacao FROM t GROUP BY 1",
