@@ -21,9 +21,9 @@ def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Clusters that the given columns divide: the components the operator keeps whole, held against the old sides."""
     rows, members, assigned = _assigned(spark, d)
-    whole = assigned.select("id", "component")
-    out = splits.divided(rows, "rid", SPLIT_COLUMNS, whole).where(F.col("component").startswith("0:"))
-    return out.select(F.substring_index("component", ":", -1).cast("int").alias("near_dup_cluster"), "coluna")
+    named = rows.where("near_dup_cluster IS NOT NULL AND near_dup_cluster <> -1").select(F.col("rid").alias("id"), F.col("near_dup_cluster").alias("component")).distinct()
+    whole = assigned.select("id").join(named, "id")
+    return splits.divided(rows, "rid", SPLIT_COLUMNS, whole).select(F.col("component").alias("near_dup_cluster"), "coluna")
 
 
 def p1_sides(spark: SparkSession, d: str) -> DataFrame:
