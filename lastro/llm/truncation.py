@@ -28,38 +28,42 @@ _NAME = r"\p{Lu}[\p{L}'-]+(?:\s+(?:d[aeo]s?\s+)?\p{Lu}[\p{L}'-]+){0,4}"
 CREDIT = r"\n\s*(?:[—–-]\s*(?:Redação|" + _NAME + r")|(?:Texto de|Texto:|Com informa(?:ções|ção) de|Foto:|Edição:|Por|Reportagem de)\s+" + _NAME + r"|Equipe de \p{L}+|Da redação|Fonte:\s*\S+)\s*$"
 
 
-def lengths(c: Column) -> Column:
-    """Map of measure -> length of a text: characters, bytes, UTF-16 units, after entity and JSON escaping, after newline conversion."""
-    newlines = F.length(c) - F.length(F.translate(c, "\n", ""))
-    quotes = F.length(c) - F.length(F.translate(c, "\"", ""))
-    markup = 4 * (F.length(c) - F.length(F.translate(c, "&", ""))) + 3 * (F.length(c) - F.length(F.translate(c, "<>", "")))
-    slashes = F.length(c) - F.length(F.translate(c, "\\", ""))
-    astral = F.length(c) - F.length(F.regexp_replace(c, r"[\x{10000}-\x{10FFFF}]", ""))
-    above = F.length(c) - F.length(F.regexp_replace(c, r"[^\x00-\x7F]", ""))
-    n, b = F.length(c), F.octet_length(c)
+def counters(c: Column) -> Column:
+    """Struct of what the measures need of a text: characters, bytes and the characters that some escaping widens."""
+    n = F.length(c)
+    less = lambda *signs: sum((n - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in signs), F.lit(0))
+    astral = F.octet_length(F.encode(c, "UTF-16BE")) / 2 - n
+    above = F.when(F.octet_length(c) == n, 0).otherwise(n - F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")))
+    each = {"n": n, "b": F.octet_length(c), "nl": less("\n"), "quotes": less('"'), "amp": less("&"), "angles": less("<", ">"), "slashes": less("\\"), "astral": astral, "above": above}
+    return F.struct(*[v.cast("int").alias(k) for k, v in each.items()])
+
+
+def lengths(k: Column) -> Column:
+    """Map of measure -> length from ``counters``: characters, bytes, UTF-16 units, after entity and JSON escaping, after newline conversion."""
+    n, b, nl, quotes, slashes, astral, above = (k[x] for x in ("n", "b", "nl", "quotes", "slashes", "astral", "above"))
+    markup = 4 * k["amp"] + 3 * k["angles"] + 5 * quotes
     each = {
-        "caracteres": n, "utf8": b, "utf16": n + astral, "entidades": n + markup + 5 * quotes, "entidades_utf8": b + markup + 5 * quotes,
-        "json": n + quotes + slashes + newlines + 5 * above + 6 * astral, "json_utf8": b + quotes + slashes + newlines,
-        "crlf": n + newlines, "crlf_utf8": b + newlines,
+        "caracteres": n, "utf8": b, "utf16": n + astral, "entidades": n + markup, "entidades_utf8": b + markup,
+        "json": n + quotes + slashes + nl + 5 * above + 6 * astral, "json_utf8": b + quotes + slashes + nl,
+        "crlf": n + nl, "crlf_utf8": b + nl,
     }
-    return F.create_map(*[x for k, v in each.items() for x in (F.lit(k), v)])
+    return F.create_map(*[x for key, v in each.items() for x in (F.lit(key), v)])
 
 
 def measured(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """Per text its endings and lengths; the text itself is no longer carried, but for its last 200 characters."""
-    t = F.rtrim(F.col(text))
-    base = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("_t"), t.alias("_r"))
-    tail = F.substring(F.col("_r"), -200, 200)
-    mark = F.regexp_extract(tail, "(" + MARK + ")", 1)
-    dots = F.when(mark == "", F.regexp_extract(tail, "(" + DOTS + ")", 1)).otherwise("")
-    body = F.expr("substring(_r, 1, length(_r) - length(mark) - length(dots))")
-    out = base.select("*", tail.alias("tail"), mark.alias("mark"), dots.alias("dots")).withColumn("_body", F.rtrim(body))
-    return out.select(
-        "doc_id", "source", "mark", "dots", F.substring("_body", -200, 200).alias("end"), F.length("_t").alias("n"),
-        lengths(F.col("_t")).alias("whole"), lengths(F.col("_body")).alias("part"),
-        (F.length("_t") > F.length("_r")).alias("spaced"), F.instr(F.expr("substring(_body, 1, length(_body) - 1)"), "\n").alias("lines"),
-        F.length(F.regexp_replace(F.substring("_body", 1, 400), r"[^.!?]", "")).alias("stops"),
-    )
+    """Per text its endings and lengths; the text itself is no longer carried, but for its last 200 characters.
+
+    Each text is counted once; the lengths before a mark are those of the whole less those of what follows.
+    """
+    c = F.col(text)
+    base = docs.where(F.length(F.trim(c)) > 0).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), counters(c).alias("_k"), F.substring(F.rtrim(c), -400, 400).alias("_last"))
+    r = F.regexp_replace("_last", r"\s+$", "")
+    cut = base.withColumn("_r", r).withColumn("tail", F.substring("_r", -200, 200)).withColumn("mark", F.regexp_extract("tail", "(" + MARK + ")", 1))
+    cut = cut.withColumn("dots", F.when(F.col("mark") == "", F.regexp_extract("tail", "(" + DOTS + ")", 1)).otherwise(""))
+    body = F.regexp_replace(F.expr("substring(_r, 1, length(_r) - length(mark) - length(dots))"), r"\s+$", "")
+    cut = cut.withColumn("_body", body).withColumn("_rest", counters(F.expr("substring(_last, length(_body) + 1)")))
+    part = F.struct(*[(F.col(f"_k.{x}") - F.col(f"_rest.{x}")).alias(x) for x in ("n", "b", "nl", "quotes", "amp", "angles", "slashes", "astral", "above")])
+    return cut.select("doc_id", "source", "mark", "dots", F.substring("_body", -200, 200).alias("end"), F.col("_k.n").alias("n"), lengths(F.col("_k")).alias("whole"), lengths(part).alias("part"))
 
 
 def with_endings(texts: DataFrame) -> DataFrame:
