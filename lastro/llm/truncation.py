@@ -115,10 +115,12 @@ def ending_words(docs: DataFrame, text: str) -> DataFrame:
 
     Counted over all documents; partial sums come before the shuffle.
     """
-    spaced = F.regexp_replace(F.lower(F.col(text)), r"(?:(?<!\.)\.(?!\.)|[!?]+)[\"”’'»)\]]*(?=\s|$)", " \u0001 ")
-    words = F.filter(F.split(F.regexp_replace(spaced, r"[^\p{L}\p{N}\u0001-]+", " "), " "), lambda x: x != "")
-    pairs = F.zip_with(words, F.slice(F.concat(words, F.array(F.lit(""))), F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.struct(a.alias("w"), F.when(b == "\u0001", 1).otherwise(0).alias("e")))
-    return docs.where(F.length(F.trim(F.col(text))) > 0).select(F.explode(pairs).alias("p")).where(F.col("p.w") != "\u0001").groupBy(F.col("p.w").alias("w")).agg(F.count("*").alias("n"), F.sum("p.e").alias("ends"))
+    stop = "\u0001"  # put behind the last word of each sentence
+    ended = F.regexp_replace(F.lower(F.col(text)), r"[\"”’'»)\]]*(?:(?<!\.)\.(?!\.)|[!?]+)[\"”’'»)\]]*(?=\s|$)", stop + " ")
+    words = F.split(F.regexp_replace(ended, r"[^\p{L}\p{N}\x01-]+", " "), " ")
+    counted = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    w = F.replace(F.col("t"), F.lit(stop), F.lit(""))
+    return counted.select(w.alias("w"), "n", F.when(F.col("t").endswith(stop), F.col("n")).otherwise(0).alias("e")).where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"), F.sum("e").alias("ends"))
 
 
 def judged(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
