@@ -226,7 +226,7 @@ def o02_score(s, d):
     return table(s, d, "v6_pool").select("rid", F.round(F.least(F.greatest(p, F.lit(0.05)), F.lit(0.95)), 3).alias("prob"))
 
 
-def p01_gates(s, d):
+def gates_p01(s, d):
     pool, split = table(s, d, "v6_pool"), table(s, d, "v6_splits")
     a = pool.agg(F.count("*").alias("n"), F.countDistinct("rid").alias("u"), F.count_if(F.col("text_no_url").isNull()).alias("nulos"))
     b = split.join(pool.select("rid"), "rid", "left_anti").agg(F.count("*").alias("orfaos"))
@@ -235,7 +235,7 @@ def p01_gates(s, d):
     return one.select(F.inline(checks)).select("nome", "valor", (F.col("valor") == 0).alias("ok"))
 
 
-def p04_forbidden(s, d):
+def gates_p04_forbidden(s, d):
     t = n.plain(F.col("titulo"))
     return table(s, d, "fonte_evidencia").where(t.rlike(r"\b(?:e falso|fake|mentira)\b")).groupBy("portal_id").agg(F.count("*").alias("n"))
 
@@ -252,7 +252,7 @@ def q07_unknown(s, d):
     return t.withColumn("r", F.row_number().over(Window.partitionBy("consulta_id").orderBy("dominio"))).where("r <= 2").select("consulta_id", "dominio")
 
 
-QUERIES = {f.__name__: f for f in (d03_day, d04_window, d06_excess, d09_best_date, f01_labels, f02_direction, f06_portal, f10_gate, g02_split_counts, g03_upsert, g04_fusion, h05_clusters, h07_majority, h09_title_jaccard, h12_cluster_conflicts, j01_bm25, j02_bm25_plus, j04_interleave, j06_best, j07_lag, j10_sliding, k01_levels, k02_contributions, k03_votes, k05_discounted, l01_split, l04_balanced, l05_quotas, l07_per_class, m01_union, m02_pruned, n03_limiter, n05_stop, o02_score, p01_gates, p04_forbidden, q06_recovered, q07_unknown)}
+QUERIES = {f.__name__: f for f in (d03_day, d04_window, d06_excess, d09_best_date, f01_labels, f02_direction, f06_portal, f10_gate, g02_split_counts, g03_upsert, g04_fusion, h05_clusters, h07_majority, h09_title_jaccard, h12_cluster_conflicts, j01_bm25, j02_bm25_plus, j04_interleave, j06_best, j07_lag, j10_sliding, k01_levels, k02_contributions, k03_votes, k05_discounted, l01_split, l04_balanced, l05_quotas, l07_per_class, m01_union, m02_pruned, n03_limiter, n05_stop, o02_score, gates_p01, gates_p04_forbidden, q06_recovered, q07_unknown)}
 
 _IT = "(SELECT DISTINCT ON (item_id) * FROM item_evidencia)"
 _CANON = f"CASE WHEN {_H} <> '' THEN 'https://' || {_H} || {_P} || CASE WHEN {_Q} <> '' THEN '?' || {_Q} ELSE '' END END"
@@ -316,8 +316,8 @@ SELECT consulta_id, round(l,6) log_odds, CASE WHEN l IS NULL THEN 'indeterminada
     "n03_limiter": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') inicio, user_id, count(*) n FROM events GROUP BY 1,2 HAVING count(*)>1",
     "n05_stop": f"SELECT consulta_id, CASE WHEN ap THEN 'veredito' WHEN c>=2 THEN 'posturas' WHEN n>=12 THEN 'teto' ELSE 'outra_onda' END parada FROM (SELECT consulta_id, count(*) n, count(DISTINCT CASE WHEN classe IN ('SUSTENTA','REFUTA') THEN cluster_ind END) c, bool_or({_GATE}='aplicavel') ap FROM {_IT} GROUP BY 1)",
     "o02_score": f"SELECT rid, round(least(greatest(.5 + CASE WHEN regexp_matches(p,'urgente|atencao') THEN .15 ELSE 0 END + CASE WHEN regexp_matches(p,'compartilhe|repassem') THEN .15 ELSE 0 END - CASE WHEN regexp_matches(p,'segundo|de acordo com') THEN .1 ELSE 0 END + CASE WHEN len(string_split(p,' '))<30 THEN .05 ELSE 0 END,.05),.95)::DOUBLE,3) prob FROM (SELECT rid, {_plain('text_no_url')} p FROM v6_pool)",
-    "p01_gates": "SELECT nome, valor, valor=0 ok FROM (SELECT 'rid_unico' nome, count(*)-count(DISTINCT rid) valor FROM v6_pool UNION ALL SELECT 'texto_nulo', count(*) FILTER (text_no_url IS NULL) FROM v6_pool UNION ALL SELECT 'sem_registro', count(*) FROM v6_splits WHERE rid NOT IN (SELECT rid FROM v6_pool))",
-    "p04_forbidden": f"SELECT portal_id, count(*) n FROM fonte_evidencia WHERE regexp_matches({_plain('titulo')}, '\\b(?:e falso|fake|mentira)\\b') GROUP BY 1",
+    "gates_p01": "SELECT nome, valor, valor=0 ok FROM (SELECT 'rid_unico' nome, count(*)-count(DISTINCT rid) valor FROM v6_pool UNION ALL SELECT 'texto_nulo', count(*) FILTER (text_no_url IS NULL) FROM v6_pool UNION ALL SELECT 'sem_registro', count(*) FROM v6_splits WHERE rid NOT IN (SELECT rid FROM v6_pool))",
+    "gates_p04_forbidden": f"SELECT portal_id, count(*) n FROM fonte_evidencia WHERE regexp_matches({_plain('titulo')}, '\\b(?:e falso|fake|mentira)\\b') GROUP BY 1",
     "q06_recovered": f"WITH t AS (SELECT corpo_id, list_distinct({_tokens('texto_completo')}) a, list_distinct({_tokens('trecho_corpo')}) b FROM corpo_lido WHERE length(texto_completo)>0) SELECT corpo_id, round(CASE WHEN len(a)>0 THEN len(list_intersect(a,b))/len(a) ELSE 0.0 END,6) share FROM t",
     "q07_unknown": f"WITH t AS (SELECT DISTINCT consulta_id, CASE WHEN array_to_string(p[-2:],'.') IN ({','.join(repr(x) for x in u.SUFFIXES)}) THEN array_to_string(p[-3:],'.') ELSE array_to_string(p[-2:],'.') END dominio FROM (SELECT consulta_id, string_split({_H},'.') p FROM {_IT} WHERE classe IS NOT NULL)) SELECT consulta_id, dominio FROM t WHERE dominio NOT IN (SELECT dominio FROM portais WHERE tipo='geral') QUALIFY row_number() OVER (PARTITION BY consulta_id ORDER BY dominio)<=2",
 }

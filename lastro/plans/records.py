@@ -129,7 +129,7 @@ def o03_platt(s, d):
     return _judged(s, d).select("item_id", F.round(1 / (1 + F.exp(-z)), 6).alias("p_cal"))
 
 
-def p02_regression(s, d):
+def gates_p02_regression(s, d):
     r = _judged(s, d).agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("acc"), F.avg("y").alias("base"), F.count_if((F.col("p") >= 0.9) & (F.col("y") == 0)).alias("graves"))
     return r.select(F.round("acc", 6).alias("acuracia"), "graves", F.array_join(F.filter(F.array(F.when(F.col("graves") > 5, "graves"), F.when(F.col("acc") < F.greatest(F.col("base"), 1 - F.col("base")), "abaixo_do_trivial")), lambda x: x.isNotNull()), ",").alias("motivos"))
 
@@ -138,7 +138,7 @@ def q04_figures(s, d):
     return table(s, d, "v6_pool").groupBy("era", "channel").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "fake").alias("fake"))
 
 
-QUERIES = {f.__name__: f for f in (b20_rating, b23_patterns, d10_display, f08_tier, f12_outcome, f13_override, h08_containment, h11_independent, i07_baselines, i20_indicators, i24_recall, i25_padding, i26_signs, j09_first, k10_samples, l06_split, m03_ordered, m04_members, n06_deeper, o03_platt, p02_regression, q04_figures)}
+QUERIES = {f.__name__: f for f in (b20_rating, b23_patterns, d10_display, f08_tier, f12_outcome, f13_override, h08_containment, h11_independent, i07_baselines, i20_indicators, i24_recall, i25_padding, i26_signs, j09_first, k10_samples, l06_split, m03_ordered, m04_members, n06_deeper, o03_platt, gates_p02_regression, q04_figures)}
 
 _SH = lambda c: f"(SELECT corpo_id, w, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [] END g FROM (SELECT corpo_id, string_split({_plain(c)}, ' ') w FROM corpo_lido WHERE length(texto_completo) > 0 AND length(trecho_corpo) > 0))"
 _DOMAIN = f"(SELECT consulta_id, CASE WHEN array_to_string(p[-2:],'.') IN ({','.join(repr(x) for x in u.SUFFIXES)}) THEN array_to_string(p[-3:],'.') ELSE array_to_string(p[-2:],'.') END dominio FROM (SELECT consulta_id, string_split({_HOST.format('url')},'.') p FROM {_IT} WHERE classe IS NOT NULL))"
@@ -163,6 +163,6 @@ SQL = {
     "m04_members": f"SELECT count(*) FILTER (url IN (SELECT url FROM fonte_evidencia)) dentro, count(*) FILTER (url NOT IN (SELECT url FROM fonte_evidencia)) fora FROM {_IT}",
     "n06_deeper": f"SELECT consulta_id FROM (SELECT consulta_id, avg((coalesce(classe,'') IN ('SUSTENTA','REFUTA'))::INT) p, avg(({_GATE}='fora_do_tema')::INT) q FROM {_IT} GROUP BY 1) WHERE p=0 AND q>.5",
     "o03_platt": f"SELECT item_id, round(1/(1+exp(-({PLATT_A}*ln(c/(1-c))+({PLATT_B})))),6) p_cal FROM (SELECT item_id, least(greatest(p,.01),.99) c FROM {_JUDGED})",
-    "p02_regression": f"SELECT round(acc,6) acuracia, graves, array_to_string(list_filter([CASE WHEN graves>5 THEN 'graves' END, CASE WHEN acc<greatest(base,1-base) THEN 'abaixo_do_trivial' END], lambda x: x IS NOT NULL),',') motivos FROM (SELECT avg(((p>=.5)::INT=y)::INT) acc, avg(y) base, count(*) FILTER (p>=.9 AND y=0) graves FROM {_JUDGED})",
+    "gates_p02_regression": f"SELECT round(acc,6) acuracia, graves, array_to_string(list_filter([CASE WHEN graves>5 THEN 'graves' END, CASE WHEN acc<greatest(base,1-base) THEN 'abaixo_do_trivial' END], lambda x: x IS NOT NULL),',') motivos FROM (SELECT avg(((p>=.5)::INT=y)::INT) acc, avg(y) base, count(*) FILTER (p>=.9 AND y=0) graves FROM {_JUDGED})",
     "q04_figures": "SELECT era, channel, count(*) n, count(*) FILTER (label='fake') fake FROM v6_pool GROUP BY 1,2",
 }
