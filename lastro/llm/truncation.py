@@ -26,6 +26,10 @@ STOP = r"[.!?;:][\"”’'»)\]*_]*\s*$|[.!?][\"”’'»)\]*_]+\s*$"
 OPEN_END = r"(?:#[\p{L}\p{N}_]+|@[\p{L}\p{N}_]+|https?://\S+|\b(?:kk+|rs(?:rs)+|haha\w*)|[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}\x{FE0F}\x{200D}]+)\s*$"
 _NAME = r"\p{Lu}[\p{L}'-]+(?:\s+(?:d[aeo]s?\s+)?\p{Lu}[\p{L}'-]+){0,4}"
 CREDIT = r"\n\s*(?:[—–-]\s*(?:Redação|" + _NAME + r")|(?:Texto de|Texto:|Com informa(?:ções|ção) de|Foto:|Edição:|Por|Reportagem de)\s+" + _NAME + r"|Equipe de \p{L}+|Da redação|Fonte:\s*\S+)\s*$"
+#: Share of all texts (3 at least) that must close on a phrase before it is a habit; a cut in one place is far rarer, however large the corpus.
+HABIT = 0.002
+#: Share of those that may lie at a hidden limit; a phrase that closes texts mostly there is where the limit cuts.
+HABIT_AT_LIMIT = 0.1
 
 
 def counters(c: Column) -> Column:
@@ -128,17 +132,20 @@ def judged(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
 
     A text is cut where a certain mark or debris ends it; where it lies at a hidden limit and ends neither a sentence nor in
     one of the open endings; and anywhere else where it ends neither so nor on a word that the corpus shows at the end of
-    sentences (a fragment of a word is shown nowhere).
+    sentences (a fragment of a word is shown nowhere). Whole phrases that writers close texts with clear a text of either
+    kind: such a phrase closes far more of all distinct texts than cuts at one place could, and lies at limits by chance only.
     """
     texts = written(with_endings(measured(docs, doc_id, source, text)))
     hit = at_limit(texts, written(hidden_limits(texts))).withColumn("limit", F.lit(True))
     flags = texts.select("doc_id", "source", "mark", "dots", "end", "n", "stop", "open", "debris", "w", "last3", "n_words")
     asked = flags.where(~F.col("stop") & ~F.col("open")).select("w").distinct()
     shown = ending_words(docs, text).join(asked, "w", "left_semi").select("w", F.col("n").alias("w_n"), "ends")
-    habits = flags.where(~F.col("stop") & ~F.col("open") & (F.col("mark") == "")).groupBy("w", "last3").agg(F.count("*").alias("habit"))
+    open_ended = flags.where(~F.col("stop") & ~F.col("open") & (F.col("mark") == "")).join(hit, "doc_id", "left")
+    # Copies, or texts with the same last 200 characters, tell of a phrase once.
+    tails = open_ended.groupBy("w", "last3", F.xxhash64("end").alias("tail")).agg(F.max(F.coalesce("limit", F.lit(False)).cast("int")).alias("limited"))
+    habits = tails.groupBy("w", "last3").agg(F.count("*").alias("habit"), F.sum("limited").alias("limited"))
     words = habits.join(shown, "w", "left").withColumn("w_n", F.coalesce("w_n", F.lit(0))).withColumn("ends", F.coalesce("ends", F.lit(0)))
-    # Words that stand at the end of sentences, or whole phrases that close far more texts than cuts at random places could.
-    usual = (F.col("habit") >= 3) & (F.col("habit") >= 0.005 * F.col("w_n"))
+    usual = (F.col("habit") >= F.greatest(F.lit(3), F.lit(HABIT * texts.count()))) & (F.col("limited") <= HABIT_AT_LIMIT * F.col("habit"))
     words = words.select("w", "last3", "w_n", "ends", (F.col("ends") < 0.02 * F.col("w_n") + 0.5).alias("unshown"), usual.alias("usual"))
     out = flags.join(hit, "doc_id", "left").join(words, ["w", "last3"], "left").withColumn("limit", F.coalesce("limit", F.lit(False)))
     usual = F.coalesce("usual", F.lit(False)) & (F.col("n_words") >= 3)

@@ -342,6 +342,21 @@ def test_cut_texts(spark):
     assert truncation.judged(df.limit(0), "doc_id", "source", "text").count() == 0
 
 
+def test_cuts_at_one_place_are_no_habit(spark):
+    r = rnd(9)
+    story = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(8, 30))).capitalize()
+    rows = [(i, "s", story() + ".") for i in range(6000)]
+    rows += [(10_000 + i, "s", f"{story()}. Lona antena de telefo") for i in range(5)]  # a fragment that is no share of 6,000
+    rows += [(11_000 + i, "s", f"{story()}. Fica o alerta") for i in range(40)]  # a habit, its word nowhere else
+    copy = story() + ". Kanape busca reve"
+    rows += [(12_000 + i, "s", copy) for i in range(30)]
+    fixed = [f"{story()}. Muito ovo de gali" for _ in range(20)]
+    rows += [(13_000 + i, "t", (WORDS[i] + " ") * 60 + t.rjust(400, "x")) for i, t in enumerate(fixed)]
+    rows = [(i, s, t[-380:] if s == "t" else t) for i, s, t in rows]
+    got = {x["doc_id"] for x in truncation.judged(spark.createDataFrame(rows, "doc_id int, source string, text string"), "doc_id", "source", "text").where("cut").collect()}
+    assert got == {i for i, _, _ in rows if 10_000 <= i < 11_000 or i >= 12_000}
+
+
 # queries ----------------------------------------------------------------------------------------------------------------
 
 
