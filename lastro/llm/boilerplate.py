@@ -130,12 +130,13 @@ def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 class _Page:
-    __slots__ = ("at", "path", "rows", "shared", "story", "sym")
+    __slots__ = ("at", "met", "path", "rows", "shared", "story", "sym")
 
     def __init__(self, path: str, at: list, sym: list, story: list) -> None:
         self.path, self.at, self.sym, self.story = path, at, sym, story
         self.shared: set[int] = set()
         self.rows: list[tuple] = []
+        self.met = 0  # addresses that it was aligned with
 
 
 def _align(a: _Page, b: _Page) -> None:
@@ -151,7 +152,9 @@ def differenced(seen: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(campo, id, at, sym, shared) of ``pages``: for each line whether a neighbour shares it.
 
     Rows are range-partitioned by host and path, so a host of a third of all pages spreads over many tasks; a task holds the
-    window of neighbours and the ids that wait for it. The first pages of a task lack the neighbours before them only.
+    last pages of the neighbours before and the ids that wait for them. However many texts an address has, each meets these;
+    where a task or host begins with such an address, its texts wait for the neighbours after. The first pages of a task lack
+    the neighbours before them only; a task that holds one address only has none.
     """
     kinds = {f.name: f.dataType.simpleString() for f in seen.schema}
     schema = f"campo {kinds['campo']}, id {kinds['id']}, at array<int>, sym array<long>, shared array<boolean>"
@@ -161,32 +164,42 @@ def differenced(seen: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
         return [(c, i, p.at, p.sym, flags) for c, i in p.rows]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window: deque[_Page] = deque()
-        host, last = None, None
+        before: deque[_Page] = deque()  # the last pages of the addresses before the current one
+        early: list[_Page] = []  # texts of an address that met too few others before its next text came
+        page: _Page | None = None
+        host, text_ = None, None
         out: list[tuple] = []
         for pdf in batches:
             for campo, rid, h, path, text, at, sym, story in zip(pdf["campo"], pdf["id"], pdf["host"], pdf["path"], pdf["h"], pdf["at"], pdf["sym"], pdf["story"], strict=True):
                 if h != host:
-                    for p in window:
+                    for p in (*early, *before, *([page] if page else [])):
                         out += done(p)
-                    window.clear()
-                    host, last = h, None
-                if last != (path, text):
-                    page = _Page(path, at.tolist(), sym.tolist(), story.tolist())
-                    others: dict[str, _Page] = {p.path: p for p in window if p.path != path}
-                    for p in list(others.values())[-neighbours:]:
-                        _align(p, page)
-                    window.append(page)
-                    last = (path, text)
-                    paths = {p.path for p in window}
-                    while len(paths) > neighbours + 1 or len(window) > 8 * neighbours:
-                        out += done(window.popleft())
-                        paths = {p.path for p in window}
-                window[-1].rows.append((campo, rid))
+                    before.clear()
+                    early, page, host = [], None, h
+                if page is None or (page.path, text_) != (path, text):
+                    new = _Page(path, at.tolist(), sym.tolist(), story.tolist())
+                    if page and page.path != path:
+                        before.append(page)
+                        if len(before) > neighbours:
+                            out += done(before.popleft())
+                        for p in early:
+                            _align(p, new)
+                            p.met += 1
+                        out += [r for p in early if p.met >= neighbours for r in done(p)]
+                        early = [p for p in early if p.met < neighbours]
+                    elif page and page.met < neighbours:
+                        early.append(page)
+                    elif page:
+                        out += done(page)
+                    for p in before:
+                        _align(p, new)
+                    new.met = len(before)
+                    page, text_ = new, text
+                page.rows.append((campo, rid))
             if len(out) > 5000:
                 yield pd.DataFrame(out, columns=["campo", "id", "at", "sym", "shared"])
                 out = []
-        for p in window:
+        for p in (*early, *before, *([page] if page else [])):
             out += done(p)
         if out:
             yield pd.DataFrame(out, columns=["campo", "id", "at", "sym", "shared"])

@@ -162,6 +162,19 @@ def test_furniture_goes_and_story_stays(spark):
     assert boilerplate.furniture(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", ["a00", "m00"])  # first of its host, and amid others
+def test_an_address_of_many_texts_keeps_its_neighbours(spark, hot):
+    r = rnd(10)
+    say = lambda: " ".join(r.choice(WORDS) for _ in range(30)).capitalize() + "."
+    rows = []
+    for i, path in enumerate([hot] * 60 + [f"{c}{k}" for c in "bcdpqr" for k in range(3)]):
+        text = [say(), "uma linha da casa em toda pagina", say(), "e mais uma ao pé dela"]
+        rows.append(("c", i, f"https://site.example/{path}", None, "\n".join(text)))
+    df = spark.createDataFrame(rows, "campo string, id int, url string, titulo string, texto string")
+    got = {(x["id"], x["linha_no"]) for x in boilerplate.furniture(df.coalesce(1)).collect()}
+    assert got == {(i, k) for i in range(len(rows)) for k in (1, 3)}
+
+
 # 4 and 6 ----------------------------------------------------------------------------------------------------------------
 
 
