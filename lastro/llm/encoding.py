@@ -98,10 +98,26 @@ _ODD = re.compile(rf"[^\x00-\x7f{re.escape(LETTERS + SIGNS)}\u2600-\u27bf\ufe0f\
 _INSIDE = re.compile(rf"[a-zA-Z{LETTERS}][^\x00-\x7f{LETTERS}’‘–—\xa0][a-zA-Z{LETTERS}]|[a-z{LETTERS}][½¼¾§£€©®™¡¿][.,;:!?]?$")
 _CASE = re.compile(rf"[{_LOWER}][{_UPPER}]|[{_UPPER}][ÁÀÂÃÉÊÍÓÔÕÚÇ][a-z]{{2}}|[{_UPPER}]{{2}}[áàâãéêíóôõúüç]|^[{_LOWER}]?[áâãêíôõúçü]$|^… [a-z]|[A-Z][ÃÕ](?![OEA])|[Çç](?:[^aeiouáàâãéêíóôõúAEIOUÁÂÃÉÊÍÓÔÕÚ]|$)")
 
+#: What the chains from UTF-8 make of one letter or sign; the parts may all be sound letters and signs, their sequence isn't.
+_MADE = sorted({g for c in LETTERS + SIGNS for chain in CHAINS if chain.startswith("utf8>") and len(g := garble(c, chain) or "") > 1}, key=lambda g: (-len(g), g))
+# A closing sign behind a capital that ends a word in capitals ("AMANHÃ”") is sound.
+_CLOSED = re.compile(rf"(?<=[{_UPPER}])[ÃÂ][”’»›…–—](?![^\W\d_])")
+_SEQUENCE = re.compile("|".join(map(re.escape, _MADE)))
+#: A mark that Mac letters turn into within a word: an apostrophe that neither elides a vowel nor is English, a dash behind a letter that ends no Portuguese word.
+_MAC = re.compile(rf"[{_LOWER}{_UPPER}]’(?=[a-z])(?<!\b[dlmnstDLMNST]’)(?<!\b[Qq]u’)(?<!’n’)(?!(?:s|t|m|d|n|re|ll|ve)\b)|(?<!’)\b[dlmnstDLMNST]’(?=[b-df-gj-np-tv-z])|[bcdfghjkpqtvx][—–](?=[a-z])")
+#: Such marks anywhere within a word; only a word of the corpus is restored from them.
+_MAYBE = re.compile(r"[^\W\d_][’—–][a-z]")
+_END = re.compile(rf"[{_LOWER}]·(?=[.,;:!?]?(?:\s|$))|^[ÍÚÃÕÊÔÇ] [a-z]")
+
 
 def odd(word: str) -> bool:
-    """Whether a word as it stands holds what sound text does not: a foreign sign or letter, a sign within a word, broken case."""
-    return bool(_ODD.search(word) or _INSIDE.search(word) or _CASE.search(word))
+    """Whether a word as it stands holds what sound text does not: a foreign sign or letter, a sign within a word, broken case, or what a chain makes of one letter or sign."""
+    return bool(_ODD.search(word) or _INSIDE.search(word) or _CASE.search(word) or _MAC.search(word) or _END.search(word) or _SEQUENCE.search(_CLOSED.sub("", word)))
+
+
+def bare(word: str) -> str:
+    """A word in lower case without what surrounds it."""
+    return re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word.lower())
 
 
 def plausible(text: str) -> bool:
@@ -143,13 +159,14 @@ def _signed(rng: random.Random, n: int) -> list[str]:
 class Model:
     """Multinomial log-likelihoods of hashed byte bigrams per class."""
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table
+    def __init__(self, table: np.ndarray, known: frozenset[str] = frozenset()) -> None:
+        self.table, self.known = table, known
 
     @classmethod
     def fit(cls, words: list[tuple[str, float]]) -> Model:
         """From sound words (mostly so: garbled ones among them are few) with weights."""
         rng = random.Random(SEED)
+        known = frozenset(b for w, _ in words if plausible(w) and (b := bare(w)))
         counts = np.full((BUCKETS, len(CLASSES)), 0.05)
         words = [*words, *((w, 1.0) for w in _signed(rng, max(300, len(words) // 4)))]
         for w, weight in [*words, *((f, 1.0) for f in _foreign(rng, max(200, len(words) // 4)))]:
@@ -161,7 +178,7 @@ class Model:
                 g = garble(w, chain)
                 if g is not None and g != w:
                     np.add.at(counts[:, i], _features(g), weight)
-        return cls(np.log(counts / counts.sum(0)).astype(np.float32))
+        return cls(np.log(counts / counts.sum(0)).astype(np.float32), known)
 
     #: How much likelier a chain must be than sound text (natural logarithm): garbled words are few.
     MARGIN = 2.0
@@ -173,6 +190,9 @@ class Model:
             return "sound", word
         if LOST in plain:
             return "lost", None
+        back = invert(plain, "mac_roman>cp1252") if _MAYBE.search(plain) else None
+        if back is not None and bare(back) in self.known:
+            return "mac_roman>cp1252", back
         if not odd(plain):
             return "sound", word
         scores = self.table[_features(plain)].sum(0)

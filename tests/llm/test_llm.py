@@ -123,6 +123,15 @@ def test_encoding_held_out(spark):
     assert done[1]["texto"].endswith("situação") and not done[4]["mudou"] and set(done) == {1, 3, 4}
 
 
+def test_garbled_words_of_sound_signs_are_restored(spark):
+    words = [*SOUND, "história", "política", "vitória", "dívida", "está", "– Este", "· Mapa"]
+    model = encoding.fit(spark.createDataFrame([(i, " ".join(words)) for i in range(50)], "id int, t string"), "t")
+    cases = [("– Casa", "utf8>cp1252"), ("— Casa", "utf8>cp1252"), ("’", "utf8>cp1252"), ("é jornalista", "utf8>latin1"), ("política", "mac_roman>cp1252"), ("história", "mac_roman>cp1252"), ("dívida", "mac_roman>cp1252"), ("está", "cp1252>mac_roman")]
+    assert [(w, c) for w, c in cases if model.judge(encoding.garble(w, c))[1] != w] == []
+    sound = ["d’água", "copo d’agua", "d’Arc", "it’s", "disse—ele", "“AMANHÃ”", "AMANHÃ…", "à reportagem", "às creches", "POÇOS", "1ª–2ª", "rock’n’roll"]
+    assert [w for w in sound if model.judge(w)[0] != "sound"] == []
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------------
 
 
