@@ -71,9 +71,12 @@ def found(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return lines.join(repeated.select("source", "k", "newly"), ["source", "k"]).select("doc_id", "linha_no", "newly", "source", "k")
 
 
-def rebuilt(docs: DataFrame, doc_id: str, text: str, places: DataFrame) -> DataFrame:
-    """The documents that hold repeated lines, each with its text without them; other documents stay as they are and are not read out."""
+def rebuilt(docs: DataFrame, doc_id: str, text: str, places: DataFrame, every: bool = False) -> DataFrame:
+    """The documents that hold repeated lines, each with its text without them; ``every`` adds all others with text as they are, 0 lines removed."""
     drop = places.groupBy("doc_id").agg(F.collect_set("linha_no").alias("drop"))
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("drop"), i))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).join(drop, "doc_id").select("doc_id", F.array_join(kept, "\n").alias("texto_limpo"), F.size("drop").alias("linhas_removidas"))
+    asked = docs.where(F.length(F.col(text)) > 0) if every else docs
+    out = asked.select(F.col(doc_id).alias("doc_id"), F.col(text)).join(drop, "doc_id", "left" if every else "inner")
+    clean = F.when(F.col("drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return out.select("doc_id", clean.alias("texto_limpo"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("linhas_removidas"))

@@ -76,9 +76,9 @@ def p7_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies without their portal's repeated lines."""
-    pages, places = _repeated(spark, d)
-    return lines.rebuilt(pages, "corpo_id", "texto_completo", places).select(F.col("doc_id").alias("corpo_id"), "texto_limpo", "linhas_removidas")
+    """Every body with text, without its portal's repeated lines; bodies that hold none or have no portal stay as they are."""
+    _, places = _repeated(spark, d)
+    return lines.rebuilt(table(spark, d, "corpo_lido"), "corpo_id", "texto_completo", places, every=True).select(F.col("doc_id").alias("corpo_id"), "texto_limpo", "linhas_removidas")
 
 
 def _capacity(spark: SparkSession, d: str, name: str = "medio") -> int:

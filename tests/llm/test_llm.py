@@ -287,6 +287,16 @@ def test_repeated_lines_and_deltas(spark):
     assert fresh.first()["newly"]
 
 
+def test_every_body_is_cleaned(spark, sf):
+    text = {r["corpo_id"]: r["texto_completo"] for r in spark.read.parquet(f"{sf}/corpo_lido.parquet").where("length(texto_completo) > 0").collect()}
+    places: dict[int, set] = {}
+    for r in queries.p7_found(spark, sf).collect():
+        places.setdefault(r["corpo_id"], set()).add(r["linha_no"])
+    want = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in places.get(i, ())), len(places.get(i, ()))) for i, t in text.items()}
+    assert {r["corpo_id"]: (r["texto_limpo"], r["linhas_removidas"]) for r in queries.p7_clean(spark, sf).collect()} == want
+    assert len(places) < len(want)
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------------
 
 
