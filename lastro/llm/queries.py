@@ -19,11 +19,12 @@ def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters that the given columns divide: the components the operator keeps whole, held against the old sides."""
-    rows, members, assigned = _assigned(spark, d)
-    named = rows.where("near_dup_cluster IS NOT NULL AND near_dup_cluster <> -1").select(F.col("rid").alias("id"), F.col("near_dup_cluster").alias("component")).distinct()
-    whole = assigned.select("id").join(named, "id")
-    return splits.divided(rows, "rid", SPLIT_COLUMNS, whole).select(F.col("component").alias("near_dup_cluster"), "coluna")
+    """Clusters that the given columns divide: rows grouped by the cluster they name themselves."""
+    rows = table(spark, d, "v6_splits").where("near_dup_cluster IS NOT NULL AND near_dup_cluster <> -1")
+    # A rid delivered twice may name two clusters; each gets the sides of its own row only.
+    rows = rows.withColumn("id", F.struct("rid", "near_dup_cluster"))
+    named = rows.select("id", F.col("near_dup_cluster").alias("component")).distinct()
+    return splits.divided(rows, "id", SPLIT_COLUMNS, named).select(F.col("component").alias("near_dup_cluster"), "coluna")
 
 
 def p1_sides(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,12 @@ def test_components_and_sides(spark):
     assert all(sides[i] == sides[j] for i, j in combinations(range(0, 600, 7), 2) if got[i] == got[j])
 
 
+def test_a_rid_of_two_clusters_lends_each_its_own_sides(spark, tmp_path):
+    rows = [(1, "train", "train", 7), (1, "test", "test", 8), (2, "train", "train", 7), (3, "test", "train", 8), (4, "train", "train", -1), (4, "test", "test", None)]
+    spark.createDataFrame(rows, "rid long, split_bal_iid string, split_ood_wa string, near_dup_cluster int").write.parquet(f"{tmp_path}/v6_splits.parquet")
+    assert [tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()] == [(8, "split_ood_wa")]
+
+
 def test_sides_are_near_their_shares(spark):
     df = spark.createDataFrame([(i, min(i % 300, i // 5)) for i in range(4000)], "id int, g int")
     out = splits.assign(splits.components(df, "id", ["g"]), {"train": 0.7, "val": 0.1, "test": 0.2}, shard_rows=200)
