@@ -1,221 +1,323 @@
 """Main text of pages, by differencing each page with those nearest to it by address.
 
-Pages of a host are ordered by path, and each is aligned with the few distinct pages before it (and so with those after it)
-by longest common subsequence of lines; lines that two different stories of one host share are the host's own and go.
-Site furniture that is worded anew on every page (bylines, dates, authors' notes, readers' comments, pointers to other
-stories) can never be shared word for word. Such a line therefore stands in the alignment as its place in the layout (its
-slot, told from its shape) instead of its words; a page's own headline has no slot. Where a slot turns out to be shared in
-general, it is taken for furniture on pages whose neighbours happen to lack it, too.
-
-Comparison is on the ASCII letters of lines, so pages with garbled letters align like others. Pages of one address, and
-pages that share half of each other's story, are copies of one story and are not differenced against each other.
-
-Defined results: null and empty texts have no lines and blank lines are never results; a page alone on its host loses only
-what confirmed slots say; repeated rows get the same lines; very long pages are aligned whole; extra columns are ignored.
+Addresses of a host are ordered by path. Each text is aligned by longest common subsequence of lines with one text of each of
+the nearest addresses before and after it, and lines that two different stories of one host share are the host's own and go.
+Two lines are the same where their letters are, or where they carry the same label: the words before a colon at the head of
+a line ("see also: ..."), a plus sign there, or the shape of a headline that is not the page's own, which is told by the
+opening words that the corpus's own titles have. So a pointer to another story aligns with the neighbour's pointer although
+each names a story of its own.
+
+What alignment finds shared then speaks for lines it could not reach (bylines of authors whom no neighbour shares, pages at
+the end of a host): the same letters or label in the same host, the same label anywhere, or the same frame (names and numbers
+masked) anywhere, where alignment found at least two lines and one in five of all that carry it shared (for letters in one
+host: two lines). No word, phrase or pattern of any site is given; all of it is learned from the rows at hand.
+
+Comparison is on the ASCII letters of lines, so pages with garbled letters align like others. Texts of one address are not
+aligned with each other, and pages that share half of each other's story are copies of one story and say nothing.
+
+Defined results: null and empty texts have no lines and blank lines are never results; texts without an address are one host
+of one address; repeated rows get the same lines; very long pages are aligned whole; extra columns are ignored; the result
+does not depend on the number of partitions.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lastro.functions.text import unaccent
 from lastro.llm.history import page_key
+from lastro.llm.lines import sized
 from lastro.session import written
 
-#: Distinct pages before each page that it is aligned with.
+#: Addresses before and after each that its texts are aligned with.
 NEIGHBOURS = 3
-#: Share of a slot's lines that alignment must find shared before the slot counts on every page.
-CONFIRMED = 0.05
-#: Unslotted lines of so many letters are taken for a story's own when two pages are judged to be copies.
+#: Share of the lines of a label or frame that alignment must find shared before it counts where alignment does not reach.
+CONFIRMED = 0.2
+#: Unlabelled lines of so many letters are taken for a story's own when two pages are judged to be copies.
 STORY_LETTERS = 60
+#: Words that a frame, and a label before its colon, may have by definition.
+FRAME_WORDS, LABEL_WORDS = 14, 5
+#: A title's opening (three words) counts where one title in so many begins with it, so openings are at most as many.
+OPENING = 2000
+#: Addresses that one task aligns at a time, and texts beyond which a block of addresses is split.
+BLOCK, BLOCK_TEXTS = 256, 4096
 
-# Shapes of furniture lines, on their ASCII letters in lower case.
-SLOTS = [
-    ("navegacao", r"^in?cio(?: |$)|^voc? est em|^quem somos|^expediente|^sobre ns|^trabalhe conosco|^pular para o cont|^buscar no|^assine o|mapa do site$"),
-    ("legal", r"todos os direitos reservados|^copyright \d|contedo desta pgina|cookies|armazenam dados no seu|^esta reportagem segue o mtodo"),
-    ("partilha", r"^compartilh(?:e|ar)(?: |:|$)|^envie esta notcia|^ouvir o texto"),
-    ("convite", r"^entre no grupo|^siga o canal|^receba a newsletter|^sugira uma checagem|^fale com a reda|^encontrou um erro"),
-    ("anuncio", r"^oferta: |^publicidade|^anncio|continua (?:aps|depois)"),
-    ("ponteiro", r"^(?:relacionada|leia tambm|leia mais|leia ainda|veja|veja tambm|veja mais|saiba mais) ?: "),
-    ("lista", r"^(?:ltimas(?: notcias)?|mais lidas|notcias relacionadas|veja mais|leia tambm|leia mais)(?:$|[ .!-].{0,30}$)"),
-    ("comentario", r"^comentrios? \(\d|^[a-z '-]{3,50} (?:comentou|escreveu|respondeu): "),
-    ("data", r"^(?:publicado|atualizado)(?: em)? \d|^por redao .{0,4}\d+/\d+/|^\d{1,2}/\d{1,2}/\d{4} .{0,4}\d+h"),
-    ("autor", r" jornalista e cobre "),
-    ("assinatura", r"^(?:por|texto:|texto de|crdito:|foto:|imagem:|vdeo:|edio:|reportagem:|da redao,?) [a-z' ]{3,45}(?:[,/|] ?[a-z ]{2,25}){0,2}(?: - [a-z ]{3,30})?[ .!]*$|\| ?reprter"),
-]
-_SUBHEAD = r"^(?:o caso d[aeo]|e em|o que se sabe|quem|entenda o caso|o que diz|o outro lado) |, o personagem"
-_OTHER = len(SLOTS) + 1  # the shape of a headline, where it isn't the page's own
-_PLUS = 1 + [name for name, _ in SLOTS].index("ponteiro")
-
-
-def ascii_line(line: Column) -> Column:
-    """The ASCII of a line, entities dropped, white space collapsed, marks put before it stripped."""
-    plain = F.regexp_replace(F.regexp_replace(line, r"&#?\w{2,8};", ""), r"[\s\x{00A0}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\x20-\x7E]+", ""), r"^(?: ?[>*?-] ?)+|  +", " "))
-
-
-def line_key(line: Column) -> Column:
+_PLUS, _HEADLINE = 1, 2  # symbols of labels that are no words
+
+_ENTITY = re.compile(r"&#?\w{2,8};")
+_NOT_LETTERS = bytes(i for i in range(256) if not (97 <= i <= 122))
+_NAME = re.compile(r"\b[A-Z][a-z']+(?: (?:d[aeo]s? )?[A-Z][a-z']+)*")
+_NUMBER = re.compile(r"\d[\d.,]*")
+_SIGNS = re.compile(r"[^A-Za-z0:?/|]+")
+_IS_PLUS = re.compile(r"[^A-Za-z0-9]*\+ ")
+_LABEL = re.compile(r"[^A-Za-z0-9]*((?:[^\s:]+ ){0,%d}[^\s:]+?) ?: " % (LABEL_WORDS - 1))
+_LABEL_NAME = re.compile(r"(?:[A-Z][a-z']+ )+(?:d[aeo]s? (?:[A-Z][a-z']+ )+)?(?=[a-z])")
+_HEAD = re.compile(r"[\W\d_]*?[A-ZÀ-ÖØ-ÞЀ-Я0-9]")
+_SENTENCE = re.compile(r"[^ .]\.$|\. [A-Z]")
+_QUOTED = re.compile(r"\s*(?:[“\"‘'«]|[-–•*] *[^\W_A-Z])|\d+\) ")
+
+
+def _hash(text: str | bytes) -> int:
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def ascii_line(line: str) -> str:
+    """The ASCII of a line, entities dropped, white space collapsed."""
+    plain = _ENTITY.sub("", line) if "&" in line else line
+    return " ".join(plain.replace("\xa0", " ").encode("ascii", "ignore").decode().split())
+
+
+def line_key(line: str) -> bytes:
     """Only the ASCII letters of a line, in lower case."""
-    return F.regexp_replace(F.regexp_replace(F.lower(line), r"&#?\w{2,8};", ""), r"[^a-z]+", "")
+    plain = _ENTITY.sub("", line) if "&" in line else line
+    return plain.lower().encode("ascii", "ignore").translate(None, _NOT_LETTERS)
+
+
+def masked(bare: str) -> str:
+    """A bare line with each name as N and each number as 0, other signs as spaces."""
+    return _SIGNS.sub(" ", _NAME.sub("N", _NUMBER.sub("0", bare))).strip()
+
+
+def opening(bare: str) -> int:
+    """Hash of the first three words of a masked line."""
+    return _hash(" ".join(masked(bare).split(" ")[:3]))
+
+
+def read_line(line: str) -> tuple[bytes, int, int, int, int, bool]:
+    """(key, hash of it, label, opening, frame, story) of a line, whose own headline it may be left aside."""
+    bare, key = ascii_line(line), line_key(line)
+    n_words = bare.count(" ") + 1
+    label = opens = 0
+    if _IS_PLUS.match(bare):
+        label = _PLUS
+    elif m := _LABEL.match(bare):
+        # A label that begins with a name ("Somebody wrote:") is that of any name.
+        label = _hash(_SIGNS.sub("", _LABEL_NAME.sub("0", m[1]).lower()))
+    elif n_words >= 4 and _HEAD.match(line) and not _SENTENCE.search(bare) and not _QUOTED.match(line):
+        # A headline's shape: four words or more from a capital or number on, no sentence end, no quotation, no list item.
+        opens = opening(bare)
+    frame = _hash(masked(bare)) if n_words <= FRAME_WORDS else 0
+    return key, _hash(key or bare), label, opens, frame, not label and len(key) >= STORY_LETTERS
 
 
-def slot(raw: Column, bare: Column, own: Column) -> Column:
-    """Number of the slot that a line's shape gives it, 0 for none; ``own`` tells the page's own headline."""
+def _trigrams(key: bytes) -> set[bytes]:
+    return {key[i : i + 3] for i in range(len(key) - 2)}
 
-    def of(low: Column) -> Column:
-        out = F.when(raw.rlike(r"^[\s\x{00A0}]*\+[\s\x{00A0}]"), _PLUS)
-        for i, (_, pattern) in enumerate(SLOTS, 1):
-            out = out.when(low.rlike(pattern), i)
-        headline = (F.length(bare) <= 170) & raw.rlike(r"^[^\p{L}\d]*[\p{Lu}\d]") & (F.size(F.split(bare, " ")) >= 4) & ~bare.rlike(r"[^ .]\.$|\. [A-Z]|^\d+\) ") & ~raw.rlike(r"^[\s\x{00A0}]*[“\"‘'«]|^[\s\x{00A0}]*[-–•] *[\p{Ll}\d]") & ~low.rlike(_SUBHEAD) & ~raw.rlike(r"^[\s\x{00A0}]*[^\x00-\x7F]{1,6}[A-Z0-9].*[^\x00-\x7F]\.?\s*$")
-        # A list item begins in lower case or with a count; garbled dashes before it leave it so.
-        return out.when(headline & ~bare.rlike(r"^\d[\d.,]* [a-z]"), _OTHER).otherwise(0)
 
-    return F.when(own | (F.length(bare) > 260), 0).otherwise(F.element_at(F.transform(F.array(F.lower(bare)), of), 1))
+def title_openings(rows: DataFrame) -> set[int]:
+    """Openings that at least one in ``OPENING`` of all titles has; at most that many come to the driver."""
+
+    @F.pandas_udf("long")
+    def opened(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: opening(ascii_line(t)))
+
+    counted = rows.where(F.length("titulo") > 0).groupBy(F.col("titulo")).agg(F.count("*").alias("n")).groupBy(opened("titulo").alias("o")).agg(F.sum("n").alias("n"))
+    counted = written(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return {r["o"] for r in counted.where(F.col("n") * OPENING >= total).select("o").collect()}
 
 
 def pages(rows: DataFrame) -> DataFrame:
-    """(campo, id, host, path, h, at, sym, story) of rows (campo, id, url, titulo, texto): per line that isn't blank its number, its symbol and whether it is a story's own.
+    """(campo, id, host, path, h, at, key, label, opening, frame, story) of rows (campo, id, url, titulo, texto).
 
-    Symbols up to 99 are slots; others are hashes of letters. h tells apart the texts of one address.
+    Per line that isn't blank: its number, hash of its letters, label (0 for none), opening where it has a headline's shape
+    (else 0), frame (0 for none), and whether it is a story's own; the page's own headline, told by its title or by what its
+    address spells, has neither label, opening nor frame. h tells texts of one address apart.
     """
-    key = page_key(F.col("url"))
-    base = rows.where(F.length("texto") > 0).select("campo", "id", "texto", F.coalesce(F.substring_index(key, "/", 1), F.lit("")).alias("host"), F.coalesce(key, F.lit("")).alias("path"), line_key(F.coalesce(F.col("titulo"), F.lit(""))).alias("t"), F.regexp_replace(F.regexp_extract(F.col("url"), r"/([a-z0-9-]{15,})[^/]*$", 1), r"[^a-z]+", "").alias("slug"))
-    lines = F.filter(F.transform(F.split("texto", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"), ascii_line(x).alias("b"), line_key(x).alias("k"))), lambda s: F.length(F.trim(F.translate(s["x"], "\u00a0\t\r", "   "))) > 0)
-
-    # Each step binds what the next uses more than once; within one step an expression would be evaluated at every use.
-    def owned(s: Column) -> Column:
-        slugged = F.when(F.length("slug") >= 20, F.startswith(F.regexp_replace(F.lower(unaccent(s["x"])), r"[^a-z]+", ""), F.substring(F.col("slug"), 1, 45))).otherwise(F.lit(False))
-        own = F.when(F.length("t") >= 8, s["k"] == F.col("t")).otherwise(F.lit(False))
-        return F.struct(s["i"].alias("i"), s["x"].alias("x"), s["b"].alias("b"), s["k"].alias("k"), F.when(F.length(s["b"]) > 260, False).when(own, True).otherwise(slugged).alias("own"))
-
-    def slotted(s: Column) -> Column:
-        return F.struct(s["i"].alias("i"), s["b"].alias("b"), s["k"].alias("k"), s["own"].alias("own"), slot(s["x"], s["b"], s["own"]).alias("slot"))
-
-    def symbol(s: Column) -> Column:
-        letters = F.xxhash64(F.when(F.length(s["k"]) > 0, s["k"]).otherwise(s["b"]))
-        return F.struct(s["i"].alias("i"), F.when(s["slot"] > 0, s["slot"].cast("long")).otherwise(letters).alias("sym"), ((s["slot"] == 0) & (s["own"] | (F.length(s["k"]) >= STORY_LETTERS))).alias("story"))
-
-    for step in (owned, slotted, symbol):
-        lines = F.transform(lines, step)
-    seen = base.select("campo", "id", "host", "path", F.xxhash64("texto", "t").alias("h"), lines.alias("ls"))
-    return seen.select("campo", "id", "host", "path", "h", F.col("ls.i").alias("at"), F.col("ls.sym").alias("sym"), F.col("ls.story").alias("story"))
-
-
-def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, bit-parallel: one row of bits per element of b."""
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v, rows = full, []
-    for y in b:
-        u = v & where.get(y, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out, i, j = [], len(a) - 1, len(b) - 1
+    address = page_key(F.col("url"))
+    slug = F.regexp_replace(F.regexp_extract(F.col("url"), r"/([A-Za-z0-9-]{15,})[^/]*$", 1), r"[^a-z]+", "")
+    base = rows.where(F.length("texto") > 0).select("campo", "id", "texto", F.coalesce(F.substring_index(address, "/", 1), F.lit("")).alias("host"), F.coalesce(address, F.lit("")).alias("path"), F.coalesce("titulo", F.lit("")).alias("titulo"), F.coalesce(slug, F.lit("")).alias("slug"))
+    schema = f"campo string, id {base.schema['id'].dataType.simpleString()}, host string, path string, h long, at array<int>, key array<long>, label array<long>, opening array<long>, frame array<long>, story array<boolean>"
+    names = ["campo", "id", "host", "path", "h", "at", "key", "label", "opening", "frame", "story"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
+        for pdf in batches:
+            out = []
+            for campo, rid, text, host, path, title, slug_ in zip(*[pdf[c] for c in ("campo", "id", "texto", "host", "path", "titulo", "slug")], strict=True):
+                t, s = line_key(title), slug_.encode()
+                spelt = _trigrams(s) if len(s) >= 20 else set()
+                at, rows_ = [], []
+                for i, line in enumerate(text.split("\n")):
+                    if not line or line.isspace():
+                        continue
+                    got = known.get(line)
+                    if got is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        got = known[line] = read_line(line)
+                    key, h, label, opens, frame, story = got
+                    own = len(t) >= 8 and key == t
+                    if not own and spelt and (label or opens):
+                        own = len(spelt & _trigrams(key[: len(s) + 3])) >= 0.7 * len(spelt)
+                    at.append(i)
+                    rows_.append((h, 0, 0, 0, False) if own else (h, label, opens, frame, story))
+                columns = [list(c) for c in zip(*rows_, strict=True)] if rows_ else [[], [], [], [], []]
+                out.append((campo, rid, host, path, _hash(text.encode("utf8", "surrogatepass") + b"\0" + t), at, *columns))
+            yield pd.DataFrame(out, columns=names)
+
+    return base.mapInPandas(run, schema)
+
+
+def common_lines(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence of lines (key, label); lines are equal in their key or in a label that isn't 0.
+
+    Bit-parallel over the lines that have any equal on the other side. Of the rows of bits only every so manieth is kept and
+    those between are computed anew on the way back, so two pages of n lines need room for n * sqrt(n) bits.
+    """
+    keys_b, labels_b = {k for k, _ in b}, {x for _, x in b if x}
+    ia = [i for i, (k, x) in enumerate(a) if k in keys_b or x in labels_b]
+    if not ia:
+        return []
+    keys_a, labels_a = {a[i][0] for i in ia}, {a[i][1] for i in ia if a[i][1]}
+    ib = [j for j, (k, x) in enumerate(b) if k in keys_a or x in labels_a]
+    by_key: dict[int, int] = defaultdict(int)
+    by_label: dict[int, int] = defaultdict(int)
+    for n, i in enumerate(ia):
+        by_key[a[i][0]] |= 1 << n
+        if a[i][1]:
+            by_label[a[i][1]] |= 1 << n
+    full = (1 << len(ia)) - 1
+    equal = [by_key.get(b[j][0], 0) | (by_label.get(b[j][1], 0) if b[j][1] else 0) for j in ib]
+
+    def step(v: int, m: int) -> int:
+        u = v & m
+        return ((v + u) | (v - u)) & full
+
+    every = max(1, int(len(ib) ** 0.5))
+    kept, v = [full], full
+    for n, m in enumerate(equal, 1):
+        v = step(v, m)
+        if n % every == 0:
+            kept.append(v)
+    out, i, j = [], len(ia) - 1, len(ib) - 1
+    block, rows = -1, []
     while i >= 0 and j >= 0:
-        if rows[j] >> i & 1:
+        if j // every != block:
+            block = j // every
+            rows = [kept[block]]  # rows[x] is the row before line block * every + x
+            for m in equal[block * every : (block + 1) * every]:
+                rows.append(step(rows[-1], m))
+        x = j - block * every
+        if rows[x + 1] >> i & 1:
             i -= 1
-        elif j > 0 and not rows[j - 1] >> i & 1:
+        elif not rows[x] >> i & 1:
             j -= 1
         else:
-            out.append((i, j))
+            out.append((ia[i], ib[j]))
             i, j = i - 1, j - 1
     return out
 
 
-class _Page:
-    __slots__ = ("at", "met", "path", "rows", "shared", "story", "sym")
-
-    def __init__(self, path: str, at: list, sym: list, story: list) -> None:
-        self.path, self.at, self.sym, self.story = path, at, sym, story
-        self.shared: set[int] = set()
-        self.rows: list[tuple] = []
-        self.met = 0  # addresses that it was aligned with
+def placed(seen: DataFrame) -> DataFrame:
+    """(host, path, pos, n, key, label, opening, story): one text per address, the longest, and its number among its host's addresses in order of path; n texts in all.
 
-
-def _align(a: _Page, b: _Page) -> None:
-    both = common_lines(a.sym, b.sym)
-    own = sum(a.story[i] for i, _ in both)
-    if own and own * 2 >= min(sum(a.story), sum(b.story)):
-        return  # two copies of one story say nothing about its lines
-    a.shared.update(i for i, _ in both)
-    b.shared.update(j for _, j in both)
-
-
-def differenced(seen: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(campo, id, at, sym, shared) of ``pages``: for each line whether a neighbour shares it.
-
-    Rows are range-partitioned by host and path, so a host of a third of all pages spreads over many tasks; a task holds the
-    last pages of the neighbours before and the ids that wait for them. However many texts an address has, each meets these;
-    where a task or host begins with such an address, its texts wait for the neighbours after. The first pages of a task lack
-    the neighbours before them only; a task that holds one address only has none.
+    The order is that of one range sort; numbers are its row numbers less those of the host's first row, summed over
+    partitions, so no host is gathered in one task.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in seen.schema}
-    schema = f"campo {kinds['campo']}, id {kinds['id']}, at array<int>, sym array<long>, shared array<boolean>"
-
-    def done(p: _Page) -> list[tuple]:
-        flags = [i in p.shared for i in range(len(p.at))]
-        return [(c, i, p.at, p.sym, flags) for c, i in p.rows]
+    longest = F.max(F.struct(F.size("key").alias("s"), "h", "key", "label", "opening", "story")).alias("m")
+    addresses = seen.groupBy("host", "path").agg(longest, F.count("*").alias("n"))
+    order = ["host", "path"]
+    ordered = addresses.select("host", "path", "n", *[F.col(f"m.{c}").alias(c) for c in ("key", "label", "opening", "story")]).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = written(ordered.withColumn("row", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("part", F.shiftright("row", 33))
+    parts = ordered.groupBy("host", "part").agg(F.min("row").alias("first"), F.count("*").alias("in_part"))
+    before = F.sum("in_part").over(Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("host", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return written(ordered.join(parts, ["host", "part"]).withColumn("pos", F.col("row") + F.col("shift")).drop("row", "part", "shift"))
+
+
+def differenced(seen: DataFrame, openings: set[int], neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(campo, id, host, at, key, label, frame, shared) of ``pages``; shared is 1 where a neighbour has the line's letters, 2 where only its label, else 0.
+
+    Blocks of neighbouring addresses are aligned together, with the neighbours beyond their ends; a block with very many
+    texts (of one address, say) is split, and its neighbours go along with each piece.
+    """
+    places = placed(seen)
+    block = F.floor(F.col("pos") / BLOCK)
+    pieces = places.groupBy("host", block.alias("block")).agg(F.ceil(F.sum("n") / BLOCK_TEXTS).cast("int").alias("pieces"))
+    places = written(places.withColumn("block", block).join(pieces, ["host", "block"]))
+    empty = {"campo": "string", "id": seen.schema["id"].dataType.simpleString(), "h": "long", "at": "array<int>", "frame": "array<long>"}
+    texts = seen.join(places.select("host", "path", "block", "pos", "pieces"), ["host", "path"])
+    texts = texts.withColumn("piece", F.pmod("h", "pieces").cast("int")).withColumn("role", F.lit(1)).drop("pieces", "path")
+    reach = F.array(*[F.floor((F.col("pos") + o) / BLOCK) for o in (-neighbours, 0, neighbours)])
+    asked = places.withColumn("to", F.explode(F.array_distinct(reach))).where("to >= 0").drop("block", "pieces", "path", "n")
+    # A neighbour beyond the host's last block asks for nothing there: the join drops it.
+    asked = asked.join(pieces.withColumnRenamed("block", "to"), ["host", "to"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    asked = asked.withColumn("block", F.col("to")).withColumn("role", F.lit(0)).drop("to", "pieces")
+    for name, kind in empty.items():
+        asked = asked.withColumn(name, F.lit(None).cast(kind))
+    schema = f"campo string, id {empty['id']}, host string, at array<int>, key array<long>, label array<long>, frame array<long>, shared array<int>"
+    names = ["campo", "id", "host", "at", "key", "label", "frame", "shared"]
+
+    def symbols(label: list[int], opens: list[int]) -> list[int]:
+        return [_HEADLINE if o in openings else x for x, o in zip(label, opens, strict=True)] if any(opens) else label
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: deque[_Page] = deque()  # the last pages of the addresses before the current one
-        early: list[_Page] = []  # texts of an address that met too few others before its next text came
-        page: _Page | None = None
-        host, text_ = None, None
+        held: dict[int, tuple[list, list]] = {}
+        where, last, flags = None, None, []
         out: list[tuple] = []
         for pdf in batches:
-            for campo, rid, h, path, text, at, sym, story in zip(pdf["campo"], pdf["id"], pdf["host"], pdf["path"], pdf["h"], pdf["at"], pdf["sym"], pdf["story"], strict=True):
-                if h != host:
-                    for p in (*early, *before, *([page] if page else [])):
-                        out += done(p)
-                    before.clear()
-                    early, page, host = [], None, h
-                if page is None or (page.path, text_) != (path, text):
-                    new = _Page(path, at.tolist(), sym.tolist(), story.tolist())
-                    if page and page.path != path:
-                        before.append(page)
-                        if len(before) > neighbours:
-                            out += done(before.popleft())
-                        for p in early:
-                            _align(p, new)
-                            p.met += 1
-                        out += [r for p in early if p.met >= neighbours for r in done(p)]
-                        early = [p for p in early if p.met < neighbours]
-                    elif page and page.met < neighbours:
-                        early.append(page)
-                    elif page:
-                        out += done(page)
-                    for p in before:
-                        _align(p, new)
-                    new.met = len(before)
-                    page, text_ = new, text
-                page.rows.append((campo, rid))
+            for host, at_block, piece, role, pos, h, campo, rid, at, key, label, opens, frame, story in zip(*[pdf[c] for c in ("host", "block", "piece", "role", "pos", "h", "campo", "id", "at", "key", "label", "opening", "frame", "story")], strict=True):
+                if (host, at_block, piece) != where:
+                    where, held, last = (host, at_block, piece), {}, None
+                label = symbols(label.tolist(), opens.tolist())
+                if role == 0:
+                    held[pos] = (list(zip(key.tolist(), label, strict=True)), story.tolist())
+                    continue
+                if (pos, h) != last:
+                    last, mine, own = (pos, h), list(zip(key.tolist(), label, strict=True)), story.tolist()
+                    flags = [0] * len(mine)
+                    for o in range(-neighbours, neighbours + 1):
+                        other = held.get(pos + o) if o else None
+                        if other is None:
+                            continue
+                        both = common_lines(mine, other[0])
+                        stories = sum(own[i] for i, _ in both)
+                        if stories and stories * 2 >= min(sum(own), sum(other[1])):
+                            continue  # two copies of one story say nothing about its lines
+                        for i, j in both:
+                            flags[i] = 1 if mine[i][0] == other[0][j][0] else flags[i] or 2
+                out.append((campo, rid, host, at, key, label, frame, flags))
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=["campo", "id", "at", "sym", "shared"])
+                yield pd.DataFrame(out, columns=names)
                 out = []
-        for p in (*early, *before, *([page] if page else [])):
-            out += done(p)
         if out:
-            yield pd.DataFrame(out, columns=["campo", "id", "at", "sym", "shared"])
+            yield pd.DataFrame(out, columns=names)
 
-    order = ["host", "path", "h", "campo", "id"]
-    return seen.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, schema)
+    both = asked.unionByName(texts)
+    key = ["host", "block", "piece"]
+    return both.repartition(*key).sortWithinPartitions(*key, "role", "pos", "h").mapInPandas(run, schema)
 
 
 def furniture(rows: DataFrame) -> DataFrame:
     """(campo, id, linha_no): lines that are not main text of rows (campo, id, url, titulo, texto)."""
-    marked = written(differenced(written(pages(rows))))
-    each = marked.select("campo", "id", F.inline(F.arrays_zip("at", "sym", "shared")))
-    # At most one row per slot comes out of this, so it is broadcast.
-    slots = each.where(F.col("sym").between(1, 99)).groupBy("sym").agg(F.avg(F.col("shared").cast("double")).alias("share")).where(F.col("share") >= CONFIRMED).select("sym", F.lit(True).alias("confirmed"))
-    judged = each.join(F.broadcast(slots), "sym", "left")
-    return judged.where(F.col("shared") | F.coalesce("confirmed", F.lit(False))).select("campo", "id", F.col("at").alias("linha_no"))
+    marked = written(differenced(written(pages(rows)), title_openings(rows)))
+    each = marked.select("campo", "id", "host", F.inline(F.arrays_zip("at", "key", "label", "frame", "shared")))
+    # What a line carries besides its place: its letters and label in its host, its label and frame anywhere.
+    tokens = F.array_compact(F.array(
+        F.xxhash64(F.lit("letters"), "host", "key"),
+        F.when(F.col("label") != 0, F.xxhash64(F.lit("label"), "host", "label")),
+        F.when(F.col("label") != 0, F.xxhash64(F.lit("label"), "label")),
+        F.when(F.col("frame") != 0, F.xxhash64(F.lit("frame"), "frame")),
+    ))
+    # A shared label proves labels, shared letters prove letters and frames.
+    proven = F.array_compact(F.array(
+        (F.col("shared") == 1).cast("int"), F.when(F.col("label") != 0, (F.col("shared") > 0).cast("int")),
+        F.when(F.col("label") != 0, (F.col("shared") > 0).cast("int")), F.when(F.col("frame") != 0, (F.col("shared") == 1).cast("int")),
+    ))
+    kinds = F.array_compact(F.array(F.lit(0), F.when(F.col("label") != 0, 1), F.when(F.col("label") != 0, 2), F.when(F.col("frame") != 0, 3)))
+    counted = each.select(F.inline(F.arrays_zip(tokens.alias("token"), proven.alias("shared"), kinds.alias("kind")))).groupBy("token").agg(F.count("*").alias("n"), F.sum("shared").alias("s"), F.first("kind").alias("kind"))
+    confirmed = written(counted.where((F.col("s") >= 2) & ((F.col("kind") == 0) | (F.col("s") >= CONFIRMED * F.col("n")))).select("token"))
+    reached = each.where("shared = 0").select("campo", "id", "at", F.explode(tokens).alias("token")).join(sized(confirmed), "token", "left_semi").select("campo", "id", "at").distinct()
+    return each.where("shared > 0").select("campo", "id", "at").unionByName(reached).withColumnRenamed("at", "linha_no")
 
 
 def main_text(rows: DataFrame, removed: DataFrame) -> DataFrame:

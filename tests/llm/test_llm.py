@@ -149,14 +149,17 @@ def test_common_lines_is_longest():
         for x in a:
             new = [0]
             for j, y in enumerate(b, 1):
-                new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+                new.append(max(row[j - 1] + same(x, y), row[j], new[-1]))
             row = new
         return row[-1]
 
-    for _ in range(200):
-        a, b = [r.randint(0, 6) for _ in range(r.randint(0, 14))], [r.randint(0, 6) for _ in range(r.randint(0, 14))]
+    def same(x, y):
+        return x[0] == y[0] or (x[1] != 0 and x[1] == y[1])
+
+    for _ in range(300):
+        a, b = ([(r.randint(0, 6), r.choice([0, 0, 1, 2])) for _ in range(r.randint(0, 14))] for _ in range(2))
         got = boilerplate.common_lines(a, b)
-        assert len(got) == longest(a, b) and all(a[i] == b[j] for i, j in got)
+        assert len(got) == longest(a, b) and all(same(a[i], b[j]) for i, j in got)
         assert got == sorted(got, reverse=True) and len({i for i, _ in got}) == len(got)
 
 
@@ -190,6 +193,23 @@ def test_an_address_of_many_texts_keeps_its_neighbours(spark, hot):
     assert got == {(i, k) for i in range(len(rows)) for k in (1, 3)}
 
 
+def test_pointers_and_authors_are_learned(spark):
+    """Labels and frames no pattern names: pointers by their label, authors whom few neighbours share by the frame; the same rows however they are partitioned."""
+    r = rnd(12)
+    say = lambda n=30: " ".join(r.choice(WORDS) for _ in range(n)).capitalize() + "."
+    people = [f"{a.capitalize()} {b.capitalize()}" for a in WORDS[:6] for b in WORDS[9:12]]
+    rows, want = [], set()
+    for i in range(120):
+        title = f"Verdadeira historia do {WORDS[i % 64]} {WORDS[(i * 7) % 64]}"
+        text = [title, f"Texto de {r.choice(people)}", say(), f"Olhe isto: {say(6)}", say(), f"Quem era {say(3)[:-1].title()}", say(), "Casa Editora de todos, telefone geral"]
+        rows.append(("c", i, f"https://site{i % 2}.example/a/{i:03d}-{title.lower().replace(' ', '-')}", title, "\n".join(text)))
+        want |= {(i, k) for k in (1, 3, 7)}
+    rows.append(("c", 900, "https://site0.example/a/000-longo", None, "\n".join([*(f"linha {j} " + "x " * 40 for j in range(20_000)), "Casa Editora de todos, telefone geral"])))
+    df = spark.createDataFrame(rows, "campo string, id int, url string, titulo string, texto string")
+    got = [{(x["id"], x["linha_no"]) for x in boilerplate.furniture(df.repartition(n)).collect()} for n in (2, 16)]
+    assert got[0] == got[1] == want | {(900, 20_000)}
+
+
 # 4 and 6 ----------------------------------------------------------------------------------------------------------------
 
 
