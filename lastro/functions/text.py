@@ -28,7 +28,7 @@ def unaccent(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, no marks, no invisible characters, separators inside numbers dropped, all else but letters and digits one space."""
-    bare = F.regexp_replace(unaccent(F.lower(c)), r"\p{Cf}+|(?<=\d)[.,](?=\d)", "")
+    bare = F.regexp_replace(F.translate(F.lower(c), ACCENTED, BARE), r"[\p{M}\p{Cf}]+|(?<=\d)[.,](?=\d)", "")
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
