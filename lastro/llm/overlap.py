@@ -21,20 +21,25 @@ TRAIN, EVALUATION = "train", ("val_sel", "val_calib", "test")
 
 
 def sided(pool: DataFrame, splits: DataFrame, id: str, text: str, column: str) -> DataFrame:
-    """(id, side, content, words) of the rows on training and evaluation sides."""
+    """(id, side, content, f, n) of the rows on training and evaluation sides; only their texts are folded."""
     side = splits.select(F.col(id).alias("id"), side_name(F.col(column)).alias("side")).where(F.col("side").isin(TRAIN, *EVALUATION)).distinct()
-    rows = segments.contents(pool.select(F.col(id).alias("id"), F.col(text).alias("_text")), F.col("_text")).drop("_text")
-    return rows.join(side, "id").select("id", "side", "content", "words")
+    rows = pool.select(F.col(id).alias("id"), F.col(text).alias("_text")).join(side, "id")
+    return segments.contents(rows, F.col("_text")).select("id", "side", "content", "f", "n")
 
 
 def overlaps(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of contents (a of evaluation, b of training; distance, containment), equal ones included, and the members (id, side, content)."""
+    """Pairs of contents (a of evaluation, b of training; distance, containment), equal ones included, and the members (id, side, content).
+
+    Evaluation texts store their segments' hashes, which are broadcast if they are few; training texts are scanned for them
+    before anything of theirs is shuffled. Containment of the evaluation text in the training text decides first.
+    """
     rows = written(rows)
     evaluation = written(segments.distinct_texts(rows.where(F.col("side") != TRAIN)))
-    train = written(segments.distinct_texts(rows.where(F.col("side") == TRAIN)))
+    # Copies within training are looked up like any row: their pairs are one once contents are compared.
+    train = rows.where(F.col("side") == TRAIN).select("content", "f", "n")
     near = segments.near_pairs(evaluation, train)
-    same = evaluation.join(train.select("content"), "content", "left_semi").select(F.col("content").alias("a"), F.col("content").alias("b"), F.lit(0).alias("distance"), F.lit(1.0).alias("containment"))
-    return written(near.unionByName(same)), rows.select("id", "side", "content")
+    same = rows.where(F.col("side") == TRAIN).select("content").join(evaluation.select("content"), "content", "left_semi").distinct().select(F.col("content").alias("a"), F.col("content").alias("b"), F.lit(0).alias("distance"), F.lit(1.0).alias("containment"))
+    return written(near.unionByName(same).distinct()), rows.select("id", "side", "content")
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

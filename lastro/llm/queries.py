@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastro.llm import boilerplate, encoding, history, lines, mixing, overlap, packing, splits, truncation
-from lastro.session import table, written
+from lastro.session import shared_dir, table, written
 
 PROPORTIONS = {"train": 0.8, "val_sel": 0.08, "val_calib": 0.04, "test": 0.08}
 SPLIT_COLUMNS = ["split_bal_iid", "split_ood_wa"]
@@ -171,10 +173,13 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return history.keyed(table(spark, d, "checagens"), "checagem_id", ["lote", "checagem_id"], "url", "titulo", "trecho")
 
 
+def _registry(spark: SparkSession) -> history.Registry:
+    return history.Registry(spark, f"{shared_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every record that repeats an accepted one, all batches resolved in their order."""
-    records = written(_keyed(spark, d))
-    done = history.resolve(records, history.content_links(records)).where(F.col("duplicate_of").isNotNull())
+    """Every record that repeats an accepted one, the batches taken through the registry in their order."""
+    done = history.fold_batches(_registry(spark), written(_keyed(spark, d)), "lote").where(F.col("duplicate_of").isNotNull())
     return done.select(F.col("duplicate_of").alias("checagem_id_a"), F.col("id").alias("checagem_id_b"))
 
 
@@ -183,10 +188,11 @@ def p4_batch(spark: SparkSession, d: str) -> DataFrame:
     records = written(_keyed(spark, d))
     last = records.agg(F.max("pos.lote")).first()[0]
     earlier = written(records.where(F.col("pos.lote") < last))
-    accepted = history.resolve(earlier, history.content_links(earlier)).where(F.col("duplicate_of").isNull()).select("id")
-    registry = history.Registry()
-    registry.append(earlier.join(accepted, "id", "left_semi"))
-    return registry.check(records.where(F.col("pos.lote") == last)).select(F.col("id").alias("checagem_id"), F.col("duplicate_of").alias("repete"))
+    registry = _registry(spark)
+    accepted = history.fold_batches(registry, earlier, "lote").where(F.col("duplicate_of").isNull()).select("id")
+    registry = history.Registry(spark, f"{registry.path}-all")  # one append, then opened anew
+    registry.append(earlier.join(accepted, "id", "left_semi"), "before")
+    return history.Registry(spark, registry.path).check(records.where(F.col("pos.lote") == last)).select(F.col("id").alias("checagem_id"), F.col("duplicate_of").alias("repete"))
 
 
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

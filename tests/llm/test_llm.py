@@ -268,17 +268,25 @@ def test_batches_against_greedy(spark, seed):
     assert got == _greedy(rows)
 
 
-def test_registry_in_steps_agrees(spark):
+def test_registry_in_steps_agrees(spark, tmp_path):
     rows = _registry(6)
     keyed = history.keyed(spark.createDataFrame(rows, SCHEMA), "id", ["lote", "id"], "url", "titulo", "trecho").cache()
-    reg, got = history.Registry(), {}
+    got = {}
     for lote in range(rows[-1][1] + 1):
         batch = keyed.where(F.col("pos.lote") == lote)
+        reg = history.Registry(spark, f"{tmp_path}/r")  # opened anew for every batch
         res = reg.check(batch).cache()
         got |= {r["id"]: r["duplicate_of"] for r in res.where("duplicate_of IS NOT NULL").collect()}
-        reg.append(batch.join(res.where("duplicate_of IS NULL").select("id"), "id", "left_semi"))
-    assert set(got) == set(_greedy(rows))
+        accepted = batch.join(res.where("duplicate_of IS NULL").select("id"), "id", "left_semi")
+        reg.append(accepted, f"b{lote}")
+        if lote == 1:
+            reg.append(accepted, f"b{lote}")  # tried again: replaced, not doubled
+    assert got == _greedy(rows)
     assert reg.check(keyed.limit(0)).count() == 0
+    for least in (1, 35):
+        folded = history.fold_batches(history.Registry(spark, f"{tmp_path}/f{least}"), keyed, "lote", least).where("duplicate_of IS NOT NULL")
+        assert {r["id"]: r["duplicate_of"] for r in folded.collect()} == got
+    assert history.fold_batches(history.Registry(spark, f"{tmp_path}/e"), keyed.limit(0), "lote").count() == 0
 
 
 def test_overlap_against_brute_force(spark):
