@@ -63,25 +63,26 @@ def _not_lone(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 def content_links(records: DataFrame) -> DataFrame:
     """Links (a, b) both ways between different near contents of ``keyed`` records."""
     texts = written(texts_of(records))
-    near = _not_lone(written(segments.near_pairs(texts, texts)), texts, texts)
-    return written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    near = _not_lone(segments.near_pairs(texts, texts), texts, texts)
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    return written(near.select(both).select("x.a", "x.b").distinct())
 
 
 def resolve(records: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, duplicate_of): null for accepted records, else the first accepted one that the record repeats.
+    """(id, duplicate_of) of ``keyed`` records (a written table): null for accepted records, else the first accepted one that the record repeats.
 
     Records of the same page and content are one node, at its first position. Nodes that share neither page nor content nor a
     link with any other are accepted at once and take no further part. Of the others a node is rejected once an accepted node
     before it shares its page or a near content, and accepted once no unsettled node before it does. Each round works on
     minima per page and per content, so neither hot pages nor large families of copies are paired up.
     """
-    rows = written(records.select("id", "pos", "page", "content"))
+    rows = records.select("id", "pos", "page", "content")
     node = rows.groupBy("page", "content").agg(F.min(F.struct("pos", "id")).alias("me"), F.count("*").alias("n"))
     node = written(node)
     shared_page = node.where(F.col("page").isNotNull()).groupBy("page").agg(F.count("*").alias("_n")).where("_n > 1").select("page", F.lit(True).alias("by_page"))
     linked = links.select(F.col("a").alias("content"))
     linked = node.where(F.col("content").isNotNull()).groupBy("content").agg(F.count("*").alias("_n")).where("_n > 1").select("content").unionByName(linked).distinct().select("content", F.lit(True).alias("by_content"))
-    marked = written(node.join(shared_page, "page", "left").join(linked, "content", "left"))
+    marked = node.join(shared_page, "page", "left").join(linked, "content", "left")
     contested = marked.where("by_page OR by_content").select("page", "content", "me")
     family = written(links.unionByName(contested.where(F.col("content").isNotNull()).select(F.col("content").alias("a"), F.col("content").alias("b")).distinct()))
     kind = node.schema["me"].dataType
@@ -100,7 +101,7 @@ def resolve(records: DataFrame, links: DataFrame) -> DataFrame:
     # Rows that are not their node's first repeat it, or what it repeats; single rows of accepted nodes need no join.
     same = lambda a, b: F.col(f"{a}page").eqNullSafe(F.col(f"{b}page")) & F.col(f"{a}content").eqNullSafe(F.col(f"{b}content"))
     rejected = state.where("state = 2").select(F.col("page").alias("r_page"), F.col("content").alias("r_content"), "of")
-    nodes = marked.select(F.col("page").alias("n_page"), F.col("content").alias("n_content"), "me", "n").join(rejected, same("n_", "r_"), "left").where("n > 1 OR of IS NOT NULL").select("n_page", "n_content", "me", "of")
+    nodes = node.select(F.col("page").alias("n_page"), F.col("content").alias("n_content"), "me", "n").join(rejected, same("n_", "r_"), "left").where("n > 1 OR of IS NOT NULL").select("n_page", "n_content", "me", "of")
     joined = rows.join(nodes, same("n_", ""), "left")
     alone = F.col("page").isNull() & F.col("content").isNull()
     duplicate_of = F.when(alone | F.col("me").isNull(), None).when(F.col("of").isNotNull(), F.col("of.id")).when(F.col("id") != F.col("me.id"), F.col("me.id"))
@@ -145,18 +146,17 @@ class Registry:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
 
     def check(self, batch: DataFrame) -> DataFrame:
-        """(id, duplicate_of) of a ``keyed`` batch: against the registry first, then the rest among themselves."""
-        batch = written(batch)
+        """(id, duplicate_of) of a ``keyed`` batch (a written table or a part of one): against the registry first, then the rest among themselves."""
         known = self.read("contents")
         if known is None:
             return resolve(batch, content_links(batch))
         texts = written(texts_of(batch))
         stored = self.read("segments")
         pairs = written(segments.candidates(stored, segments.probes(texts), stored.count(), segments.n_probes(texts)))
-        near = _not_lone(written(segments.verified(pairs, known, texts)), known, texts)
+        near = _not_lone(segments.verified(pairs, known, texts), known, texts)
         n = batch.count()
         asked = lambda c: F.broadcast(batch.select(c).distinct()) if n <= segments.BROADCAST_ROWS else batch.select(c).distinct()
-        firsts = lambda df, c: written(df.groupBy(c).agg(F.min("first").alias("of")))
+        firsts = lambda df, c: df.groupBy(c).agg(F.min("first").alias("of"))
         # The history is scanned for keys only; what matches is no larger than the batch.
         near_first = known.select("content", "first").join(near.select(F.col("a").alias("content"), "b"), "content").select(F.col("b").alias("content"), "first")
         same = known.select("content", "first").join(asked("content"), "content")
@@ -168,25 +168,25 @@ class Registry:
         return seen.where(F.col("of").isNotNull()).select("id", F.col("of.id").alias("duplicate_of")).unionByName(inside)
 
 
-def fold_batches(registry: Registry, records: DataFrame, batch: str, least_rows: int = 30_000) -> DataFrame:
+def fold_batches(registry: Registry, records: DataFrame, batch: str, least_rows: int = 100_000) -> DataFrame:
     """(id, duplicate_of) of ``keyed`` records (a written table) whose batches, numbered in ``pos.<batch>``, go through the registry one after the other.
 
-    Batches that follow each other and are small are checked together until they hold ``least_rows``: within one check
-    records are taken in order as well, so the result is the same for every grouping. One number per batch comes to the driver.
+    The first batch is the history. Later ones that follow each other and are small are checked together until they hold
+    ``least_rows``: within one check records are taken in order as well, so the result is the same for every grouping, and a
+    step's fixed cost is spread. One number per batch comes to the driver.
     """
-    sizes = [(r[0], r[1]) for r in records.groupBy(F.col(f"pos.{batch}").alias("b")).agg(F.count("*").alias("n")).orderBy(F.col("b").asc_nulls_first()).collect()]
-    steps, rows = [[]], 0
-    for i, (b, n) in enumerate(sizes):
-        steps[-1].append(b)
-        rows += n
-        if rows >= least_rows and i + 1 < len(sizes):
+    of = F.col(f"pos.{batch}")
+    sizes = [(r[0], r[1]) for r in records.groupBy(of.alias("b")).agg(F.count("*").alias("n")).orderBy(F.col("b").asc_nulls_first()).collect()]
+    steps: list[list] = [[b] for b, _ in sizes[:1]]
+    rows = least_rows
+    for b, n in sizes[1:]:
+        if rows >= least_rows:
             steps.append([])
             rows = 0
+        steps[-1].append(b)
+        rows += n
     out = None
     for k, step in enumerate(steps):
-        if not step:
-            continue
-        of = F.col(f"pos.{batch}")
         part = records.where(of.isin([b for b in step if b is not None]) | (of.isNull() if None in step else F.lit(False)))
         done = written(registry.check(part))
         out = done if out is None else out.unionByName(done)

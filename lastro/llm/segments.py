@@ -89,11 +89,8 @@ def index(texts: DataFrame) -> DataFrame:
     Frequencies are summed over all given texts before any choice; ties go to the earlier position.
     """
     grid = written(_hashed(texts, lambda hs: F.when(F.col("n") == 9, _runs(hs, 4, 4)).otherwise(_runs(hs, SEGMENT, SEGMENT))))
-    counted = grid.select(F.explode("g.h").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") > FREQUENT)
-    frequent = written(counted)
-    each = grid.select("content", "n", "s1", "s2", F.inline("g"))
-    few = frequent.count() <= BROADCAST_ROWS
-    weighed = each.join(F.broadcast(frequent) if few else frequent, "h", "left")
+    frequent = grid.select(F.explode("g.h").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") > FREQUENT)
+    weighed = grid.select("content", "n", "s1", "s2", F.inline("g")).join(frequent, "h", "left")
     ranked = weighed.groupBy("content").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "p", "h"))).alias("s"))
     kept = ranked.select("content", "n", "s1", "s2", F.inline(F.slice("s", F.lit(1), most_allowed(F.col("n")) + 1)))
     band = _band(F.col("n"))

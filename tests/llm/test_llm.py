@@ -283,7 +283,7 @@ def test_registry_in_steps_agrees(spark, tmp_path):
             reg.append(accepted, f"b{lote}")  # tried again: replaced, not doubled
     assert got == _greedy(rows)
     assert reg.check(keyed.limit(0)).count() == 0
-    for least in (1, 35):
+    for least in (1, 10_000):
         folded = history.fold_batches(history.Registry(spark, f"{tmp_path}/f{least}"), keyed, "lote", least).where("duplicate_of IS NOT NULL")
         assert {r["id"]: r["duplicate_of"] for r in folded.collect()} == got
     assert history.fold_batches(history.Registry(spark, f"{tmp_path}/e"), keyed.limit(0), "lote").count() == 0
