@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,9 +82,25 @@ def page_title(html: Column) -> Column:
     return F.substring(F.coalesce(first(r"(?is)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)"), first(r"(?is)<h1\b[^>]*>(.*?)</h1>"), first(r"(?is)<title\b[^>]*>(.*?)</title>")), 1, 300)
 
 
+def _first_value(t: str | None) -> str | None:
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"[{\[]", t or ""):
+        try:
+            _, end = decoder.raw_decode(t, m.start())
+        except ValueError:
+            continue
+        return t[m.start() : end]
+    return None
+
+
 def first_json(c: Column, schema: str) -> Column:
-    """The first JSON object in free text, read by a schema; null where there is none that reads."""
-    return F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), schema)
+    """The first JSON object or list in free text, every opening bracket being tried in turn, read by a schema; null where there is none that reads."""
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_value)
+
+    return F.from_json(first(c), schema)
 
 
 def anchored(claimed: Column, page: Column) -> Column:

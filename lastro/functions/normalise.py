@@ -9,6 +9,19 @@ from lastro.functions.text import unaccent
 
 # Stop words of the token lists, and the word lists of the style measures.
 STOP = ["que", "com", "para", "por", "uma", "dos", "das", "nao", "mais", "como", "mas", "foi", "ele", "ela", "seu", "sua", "sao", "ser", "tem", "nos"]
+# Stop words of the registry search, and the words that frame how something is told rather than what.
+STOP_SEARCH = """a ao aos aquela aquelas aquele aqueles aquilo as ate com como da das de dela delas dele deles depois do dos
+e ela elas ele eles em entre era eram essa essas esse esses esta estas este estes eu foi fomos for foram
+fosse fossem fui ha isso isto ja la lhe lhes mais mas me mesmo meu meus minha minhas muito na nas nem
+no nos nossa nossas nosso nossos num numa o os ou para pela pelas pelo pelos por qual quando que quem
+se sem ser seu seus so sua suas tambem te tem tinha tu tua tuas um uma voce voces vos sao estao
+seria teria sera serao vai vao ter ainda pode podem deve devem apos sobre cada outro outra
+outros outras todo toda todos todas nao sim quais onde porque pois entao assim aqui ali tudo nada""".split()
+FRAMING = """falso falsa falsos falsas fake fakes fato fatos verdade verdadeiro verdadeira boato boatos enganoso enganosa
+checagem checagens checado circula circulam circulando vi viu zap zapzap whatsapp grupo grupos mensagem
+mensagens post posts postagem postagens publicacao publicacoes rede redes sociais alega alegam alegacao diz
+dizem dizendo disseram afirma afirmam afirmando sabia gente pessoal compartilhe compartilhar urgente ta to
+pra pro ne eh recebi mandaram mandou manda falaram falando noticia noticias veja confira real mesmo ai""".split()
 URGENT = ["urgente", "atencao", "compartilhe", "repassem", "alerta", "cuidado", "bomba"]
 POSITIVE = ["beneficiou", "ampliou", "liberou", "apoio", "verdade", "correta", "confirmou"]
 NEGATIVE = ["falso", "enganoso", "prejudicou", "perderam", "contaminou", "escondeu", "desmentem"]
@@ -35,6 +48,17 @@ def tokens(c: Column, least: int = 3, stop: list[str] = STOP) -> Column:
     return F.filter(found, lambda x: ~x.isin(stop))
 
 
+def content_tokens(c: Column) -> Column:
+    """Words of a text for the registry search: no marks, neither stop words nor framing; three letters at least, two characters where there is a digit."""
+    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1), ascii_deleted)
+    return F.filter(found, lambda x: (F.length(x) >= F.when(x.rlike("[0-9]"), 2).otherwise(3)) & ~x.isin(STOP_SEARCH + FRAMING))
+
+
+def numbers(c: Column) -> Column:
+    """Distinct runs of digits that stand for themselves, glued to no letter, underscore or hyphen before them and to no letter behind."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![\p{L}\p{N}_-])([0-9]++)(?!\p{L})"), 1))
+
+
 def word_shingles(c: Column, n: int = 5) -> Column:
     """Distinct runs of n words of the plain text; none where it has fewer."""
     def runs(w: Column) -> Column:

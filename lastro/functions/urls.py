@@ -12,8 +12,8 @@ SOCIAL = ["facebook.com", "instagram.com", "twitter.com", "x.com", "tiktok.com",
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without www, m or amp."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]+)", 1)), r"^(www\.|m\.|amp\.)+", "")
+    """Lower-case host without www, amp or m, each of them only while two dots or more are in the host."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]+)", 1)), r"^(?:www\.(?=[^.]*\.))?(?:amp\.(?=[^.]*\.))?(?:m\.(?=[^.]*\.))?", "")
 
 
 def path(url: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lastro.session import written
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     """Struct (low, high) of the Wilson interval of k of n, clipped to 0..1; null for n = 0."""
@@ -33,12 +35,28 @@ def classification(df: DataFrame, p: str, y: str, by: list[str] | None = None, t
     return g.withColumn("macro_f1", (F.col("f1_pos") + F.col("f1_neg")) / 2)
 
 
+def _before(df: DataFrame, by: list[str], order: Column, sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums (name -> column) of the rows before each, per group in an order, without a task per group.
+
+    Rows are range-sorted, summed within their partition, and the partitions' sums are added up: one row per group and partition.
+    """
+    ordered = written(df.withColumn("_o", order).repartitionByRange(*by, "_o").sortWithinPartitions(*by, "_o").withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+    within = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_in"), *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    same = F.col("_part") == F.col("_in")
+    for c in by:  # a null group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = ordered.join(parts, same)
+    return out.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_{n}") for n, c in sums.items()}).drop("_o", "_row", "_part", "_in", *[f"_{n}" for n in sums], *[f"_by_{c}" for c in by])
+
+
 def auc(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Per group the area under the ROC curve, ties counted half, by ranks of distinct scores; null where a class is missing."""
     by = by or []
     g = _rated(df, p, y, by).groupBy(*by, "_p").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    g = _before(g, by, F.col("_p"), {"below": "neg"})
     out = g.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return out.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
 
@@ -47,8 +65,7 @@ def average_precision(df: DataFrame, p: str, y: str, by: list[str] | None = None
     """Per group the step-wise area under the precision-recall curve."""
     by = by or []
     g = _rated(df, p, y, by).groupBy(*by, "_p").agg(F.sum("_y").alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("_p"))
-    g = g.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
+    g = _before(g, by, -F.col("_p"), {"tp0": "pos", "seen0": "n"}).withColumns({"tp": F.col("tp0") + F.col("pos"), "seen": F.col("seen0") + F.col("n")})
     return g.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"), F.sum("pos").alias("np")).select(*by, F.when(F.col("np") > 0, F.col("s") / F.col("np")).alias("average_precision"))
 
 
@@ -111,12 +128,32 @@ def log_odds(df: DataFrame, tokens: Column, side: Column, least: int = 10) -> Da
 
     Bigrams in fewer than ``least`` rows are left out; the prior is a tenth of each bigram's count.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, 2), " "))
-    seen = df.select(side.alias("s"), tokens.alias("t"), F.monotonically_increasing_id().alias("r")).where((F.size("t") > 1) & F.col("s").isNotNull())
-    each = seen.select("s", F.explode(F.transform(F.array_distinct(pairs), lambda x: F.struct(x.alias("bigram"), F.size(F.filter(pairs, lambda y: y == x)).alias("c")))).alias("x")).select("s", "x.*")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("t", i - 1), F.get("t", i)))
+    seen = df.where(side.isNotNull()).select(side.alias("s"), F.monotonically_increasing_id().alias("r"), F.explode(F.array(tokens)).alias("t")).where(F.size("t") > 1)
+    each = seen.select("s", "r", F.explode(pairs).alias("bigram")).groupBy("bigram", "r", "s").agg(F.count("*").alias("c"))
     g = each.groupBy("bigram").agg(F.sum(F.when(F.col("s"), F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("s"), F.col("c")).otherwise(0)).alias("b"), F.count("*").alias("df")).where(F.col("df") >= least)
     total = g.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
     al = 0.1 * (F.col("a") + F.col("b"))
     a0 = 0.1 * (F.col("na") + F.col("nb"))
     delta = F.log((F.col("a") + al) / (F.col("na") + a0 - F.col("a") - al)) - F.log((F.col("b") + al) / (F.col("nb") + a0 - F.col("b") - al))
     return g.join(F.broadcast(total), F.lit(True)).select("bigram", "a", "b", delta.alias("delta"), (delta / F.sqrt(1 / (F.col("a") + al) + 1 / (F.col("b") + al))).alias("z"))
+
+
+def platt(df: DataFrame, z: str, y: str, rounds: int = 25, ridge: float = 1e-6) -> tuple[float, float]:
+    """(slope, intercept) of a logistic calibration of one score, by Newton steps on five sums over all rows per round."""
+    rows = df.where(F.col(z).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(z).cast("double").alias("z"), F.col(y).cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
+    rows = written(rows)
+    a, b = 0.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(F.lit(a) * F.col("z") + F.lit(b))))
+        w, e = F.col("n") * p * (1 - p), F.col("n") * (F.col("y") - p)
+        s = rows.agg(F.sum(e * F.col("z")), F.sum(e), F.sum(w * F.col("z") * F.col("z")), F.sum(w * F.col("z")), F.sum(w)).first()
+        if s[1] is None:
+            return 0.0, 0.0
+        g0, g1, h00, h01, h11 = s[0] - ridge * a, s[1], s[2] + ridge, s[3], s[4] + ridge
+        det = h00 * h11 - h01 * h01
+        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < 1e-10:
+            break
+    return a, b

@@ -8,7 +8,10 @@ Texts without words have no cluster; texts of fewer than five words cluster with
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +39,16 @@ def distinct_documents(df: DataFrame, id: str, text: str) -> tuple[DataFrame, Da
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``docs`` with sig: the least of (a x + b) mod p over the hashes, for each of the fixed coefficients."""
-    coefficients = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _coefficients(BANDS * ROWS)])
-    return docs.withColumn("sig", F.transform(coefficients, lambda c: F.array_min(F.transform("hashes", lambda x: (c["a"] * (x % PRIME) + c["b"]) % PRIME))))
+    """(doc, hashes, sig): the least of (a x + b) mod p over the hashes, for each of the fixed coefficients, in Arrow batches."""
+    pairs = _coefficients(BANDS * ROWS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = (np.array(x, np.int64)[:, None] for x in zip(*pairs, strict=True))
+        for pdf in batches:
+            pdf["sig"] = [((a * (np.asarray(h, np.int64) % PRIME)[None, :] + b) % PRIME).min(axis=1) for h in pdf["hashes"]]
+            yield pdf[["doc", "hashes", "sig"]]
+
+    return docs.select("doc", "hashes").mapInPandas(run, "doc long, hashes array<long>, sig array<long>")
 
 
 def links(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -53,11 +63,13 @@ def links(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def clusters(df: DataFrame, id: str, text: str, similarity: float = 0.8) -> DataFrame:
-    """(id, cluster) of all rows with text; the cluster is the least document of the component."""
+    """(id, cluster) of all rows with text; the cluster is the least id of the component."""
     docs, members = distinct_documents(df, id, text)
     found = written(links(docs, similarity))
     root = connected(found.select("a", "b"))
-    return members.join(root, members["doc"] == root["node"], "left").select("id", F.coalesce("root", "doc").alias("cluster"))
+    named = members.join(root, members["doc"] == root["node"], "left").select("id", F.coalesce("root", "doc").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("cluster"))
+    return named.join(least, "root").select("id", "cluster")
 
 
 def majority_kept(df: DataFrame, key: str, label: str, id: str) -> DataFrame:

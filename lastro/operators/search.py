@@ -40,9 +40,56 @@ def search(index: DataFrame, queries: DataFrame, plus: float | None = None) -> D
 
 
 def relative_cut(found: DataFrame, least: float = 4.0, k: int = 3) -> DataFrame:
-    """The best k per query with a score of at least ``least``, twice the median of the others and half the best."""
+    """The best k per query with a score of at least ``least``, twice the median of the others and half the best; scores count to four places, so that the order of a sum decides nothing."""
     w = Window.partitionBy("query")
-    pos = found.where("score > 0").withColumn("best", F.max("score").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc")))
+    pos = found.withColumn("score", F.round("score", 4)).where("score > 0").withColumn("best", F.max("score").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc")))
     others = pos.where("rank > 1").groupBy("query").agg(F.percentile("score", F.lit(0.5)).alias("mid"))
     cut = F.greatest(F.lit(least), 2 * F.coalesce("mid", F.lit(0.0)), 0.5 * F.col("best"))
-    return pos.join(others, "query", "left").where((F.col("score") >= cut) & (F.col("rank") <= k)).select("query", "doc", "rank", "score", "hits")
+    return pos.join(others, "query", "left").where((F.col("score") >= F.round(cut, 4)) & (F.col("rank") <= k)).drop("best", "mid")
+
+
+def field_postings(docs: DataFrame, id: str, claim: Column, title: Column, excerpt: Column, sentence: Column) -> DataFrame:
+    """(doc, token, tf, core, wide): counts with claim x 3, title x 2, excerpt x 1; whether claim or title hold the token (core), or those or the excerpt's first sentence (wide)."""
+    fields = [(claim, 3, 1, 1), (title, 2, 1, 1), (excerpt, 1, 0, 0), (sentence, 0, 0, 1)]
+    parts = [docs.select(F.col(id).alias("doc"), F.explode(c).alias("token"), F.lit(w).alias("w"), F.lit(core).alias("c"), F.lit(wide).alias("b")) for c, w, core, wide in fields]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.groupBy("doc", "token").agg(F.sum("w").alias("tf"), F.max("c").alias("core"), F.max("b").alias("wide"))
+
+
+def covered(index: DataFrame, queries: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(query, doc, score, n_q, n_core, n_wide, core, wide) of queries (query, token) on ``field_postings``: Okapi scores, and how much of the query's weight claim and title hold, or those and the first sentence.
+
+    A token in more than half of all documents weighs ``epsilon`` of the mean; weights below nothing cover nothing.
+    """
+    held = index.where("tf > 0")
+    size = held.groupBy("doc").agg(F.sum("tf").alias("len"))
+    total = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))  # one row
+    df = held.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = df.agg((epsilon * F.avg("idf")).alias("least"))  # one row
+    asked = queries.select("query", "token").distinct()
+    size_q = asked.groupBy("query").agg(F.count("*").alias("n_q"))
+    known = asked.join(df, "token").join(F.broadcast(mean), F.lit(True)).withColumn("idf", F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf")))
+    weight = known.groupBy("query").agg(F.sum(F.greatest("idf", F.lit(0.0))).alias("all"))
+    hit = known.join(index, "token").join(size, "doc")
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    pos = F.greatest("idf", F.lit(0.0))
+    g = hit.groupBy("query", "doc").agg(F.sum(F.col("idf") * part).alias("score"), F.sum("core").alias("n_core"), F.sum("wide").alias("n_wide"), F.sum(pos * F.col("core")).alias("core"), F.sum(pos * F.col("wide")).alias("wide"))
+    share = lambda c: F.round(F.when(F.col("all") > 0, F.col(c) / F.col("all")).otherwise(F.col(c)), 6).alias(c)
+    return g.join(size_q, "query").join(weight, "query").select("query", "doc", "score", "n_q", "n_core", "n_wide", share("core"), share("wide"))
+
+
+def registry_search(index: DataFrame, queries: DataFrame, doc_numbers: DataFrame, query_numbers: DataFrame, k: int = 5, least_terms: int = 3, core: float = 0.6, wide: float = 0.8) -> DataFrame:
+    """(query, doc, score, score_rel, n_terms): the best k per query that pass the relative cut and one of two paths.
+
+    A path wants ``least_terms`` distinct terms (all, if the query has fewer), its share of the query's weight, and one number
+    of the query, if it has any that is no year. The first path looks at claim and title, the second at the excerpt's first
+    sentence as well. doc_numbers (doc, core_numbers, wide_numbers) and query_numbers (query, numbers) hold arrays.
+    """
+    near = relative_cut(covered(index, queries), k=1 << 30).join(doc_numbers, "doc", "left").join(query_numbers, "query", "left")
+    asked = F.filter(F.coalesce("numbers", F.array().cast("array<string>")), lambda x: ~((F.length(x) <= 9) & x.cast("int").between(1900, 2100)))
+    number = lambda c: (F.size(asked) == 0) | F.coalesce(F.arrays_overlap(asked, F.col(c)), F.lit(False))
+    path = lambda n, share, least, nums: (F.col(n) >= F.least(F.lit(least_terms), F.col("n_q"))) & (F.col(share) >= least) & number(nums)
+    by_wide, by_core = path("n_wide", "wide", wide, "wide_numbers"), path("n_core", "core", core, "core_numbers")
+    passed = near.where(by_wide | by_core).select("query", "doc", "score", F.when(by_wide, F.col("wide")).otherwise(F.col("core")).alias("score_rel"), F.when(by_wide, F.col("n_wide")).otherwise(F.col("n_core")).alias("n_terms"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    return passed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

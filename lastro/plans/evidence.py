@@ -90,8 +90,7 @@ def g04_fusion(s, d):
 
 
 def h05_clusters(s, d):
-    c = nd.clusters(table(s, d, "v6_pool"), "rid", "text_no_url")
-    return c.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("menor")).where("n > 1").select("menor", "n")
+    return nd.clusters(table(s, d, "v6_pool"), "rid", "text_no_url").select(F.col("id").alias("rid"), F.col("cluster").alias("classe"))
 
 
 def h07_majority(s, d):
@@ -120,8 +119,22 @@ def _index(s, d):
     return written(se.postings(t, "checagem_id", [(n.tokens(F.col("afirmacao_checada")), 3), (n.tokens(F.col("titulo")), 2), (F.slice(n.tokens(F.col("trecho")), 1, 80), 1)]))
 
 
+def _sentence(c):
+    """First sentence of an excerpt, up to a mark before a capital; its first 250 characters where none ends."""
+    t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^(?:Boato|Hoax)\s*[–—-]\s*", "")
+    found = F.regexp_extract(t, r"(?s)^(.+?[.!?])(?=\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ“\"]|\s*$)", 1)
+    return F.trim(F.when(found != "", found).otherwise(F.substring(t, 1, 250)))
+
+
 def j01_bm25(s, d):
-    return se.relative_cut(se.search(_index(s, d), _queries(s, d))).select("query", "doc", "rank", F.round("score", 4).alias("score"), "hits")
+    t = table(s, d, "checagens").select("checagem_id", "titulo", "afirmacao_checada", "trecho", _sentence(F.col("trecho")).alias("frase"))
+    core = F.concat_ws(" ", "afirmacao_checada", "titulo")
+    index = written(se.field_postings(t, "checagem_id", n.content_tokens(F.col("afirmacao_checada")), n.content_tokens(F.col("titulo")), F.slice(n.content_tokens(F.col("trecho")), 1, 80), n.content_tokens(F.col("frase"))))
+    asked = t.where("checagem_id % 20 = 0")
+    queries = asked.select(F.col("checagem_id").alias("query"), F.explode(F.array_distinct(n.content_tokens(F.col("titulo")))).alias("token"))
+    doc_numbers = t.select(F.col("checagem_id").alias("doc"), n.numbers(core).alias("core_numbers"), n.numbers(F.concat_ws(" ", core, "frase")).alias("wide_numbers"))
+    found = se.registry_search(index, queries, doc_numbers, asked.select(F.col("checagem_id").alias("query"), n.numbers(F.col("titulo")).alias("numbers")))
+    return found.select("query", "doc", "score", "score_rel", "n_terms")
 
 
 def j02_bm25_plus(s, d):
@@ -210,7 +223,10 @@ def m02_pruned(s, d):
 
 
 def n03_limiter(s, d):
-    return table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n")).where("n > 1").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("inicio"), "user_id", "n")
+    """Requests with whether a limiter of two an hour per user, which counts every request, lets them pass."""
+    t = table(s, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    n_ = F.count("*").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-3_600_000_000 + 1, 0))
+    return t.select("event_id", "user_id", (n_ <= 2).alias("passa"))
 
 
 def n05_stop(s, d):
@@ -220,10 +236,22 @@ def n05_stop(s, d):
     return g.select("consulta_id", F.when(F.col("ap"), "veredito").when(F.col("c") >= 2, "posturas").when(F.col("n") >= 12, "teto").otherwise("outra_onda").alias("parada"))
 
 
+# Signs of a doubtful text and their weights.
+SIGNS = [
+    (r"(?i)(?:^|[^\p{L}\p{N}_])(?:urgente|compartilhe|repasse|não deixe de|acabou de sair)(?:$|[^\p{L}\p{N}_])", 0.12),
+    (r"[A-ZÁÉÍÓÚÇ ]{15,}", 0.08),
+    (r"[!?]{2,}", 0.06),
+    (r"(?i)(?:^|[^\p{L}\p{N}_])(?:mídia esconde|não querem que você saiba|vazou|bomba)(?:$|[^\p{L}\p{N}_])", 0.15),
+]
+
+
 def o02_score(s, d):
-    t = n.plain(F.col("text_no_url"))
-    p = F.lit(0.5) + F.when(t.rlike("urgente|atencao"), 0.15).otherwise(0.0) + F.when(t.rlike("compartilhe|repassem"), 0.15).otherwise(0.0) + F.when(t.rlike("segundo|de acordo com"), -0.1).otherwise(0.0) + F.when(F.size(F.split(t, " ")) < 30, 0.05).otherwise(0.0)
-    return table(s, d, "v6_pool").select("rid", F.round(F.least(F.greatest(p, F.lit(0.05)), F.lit(0.95)), 3).alias("prob"))
+    """0.5 without any sign; else 0.5 and the signs' weights, and 0.05 for texts below thirty words."""
+    t = F.coalesce("text_no_url", F.lit(""))
+    extra = sum((F.when(t.rlike(p.replace("(?i)", "(?iu)")), w).otherwise(0.0) for p, w in SIGNS), F.lit(0.0))
+    words = F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), r"\s+")))
+    p = F.when(extra == 0, 0.5).otherwise(F.least(F.greatest(0.5 + extra + F.when(words < 30, 0.05).otherwise(0.0), F.lit(0.05)), F.lit(0.95)))
+    return table(s, d, "v6_pool").select("rid", F.round(p, 3).alias("prob"))
 
 
 def gates_p01(s, d):
@@ -260,13 +288,41 @@ _KEY = f"lower({_H} || regexp_replace({_P}, '\\.(html|ghtml|htm|php)$', ''))"
 _EXC = "CASE WHEN try_cast(data_pub AS DATE) IS NOT NULL THEN greatest(date_diff('day', try_cast(data_pub AS DATE), julgado_em::DATE) - 15, 0) END"
 _DIR = "CASE veredito WHEN 'falso' THEN 1.0 WHEN 'enganoso' THEN 0.7 WHEN 'sem_evidencia' THEN 0.4 WHEN 'verdadeiro' THEN -1.0 ELSE 0.0 END"
 _case = lambda m, d: "CASE confiabilidade " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + f" ELSE {d} END"
-_CONTRIB = f"""i AS (SELECT *, {_EXC} excess, NOT coalesce(motor LIKE 'fallback%', false) AND classe IS NOT NULL AND coalesce(corpo_lido, false) usable, coalesce(agencia,false) AND coalesce(curada,false) ag, coalesce(agencia,false) an,
+_CONTRIB = f"""i AS (SELECT *, {_EXC} excess, NOT coalesce(motor LIKE 'fallback%', false) AND classe IS NOT NULL AND coalesce(corpo_lido, false) usable, coalesce(agencia,false) AND coalesce(curada,false) ag,
  CASE WHEN isnan(prob_fake_pagina) THEN NULL ELSE prob_fake_pagina END pf FROM {_IT}),
 i2 AS (SELECT *, max((usable AND ag AND classe='REFUTA' AND coalesce(excess,0)<=0)::INT) OVER (PARTITION BY consulta_id, afirmacao)=1 muted, CASE WHEN ag AND classe='REFUTA' THEN 1.5 ELSE {_case(ev.STANCE_FACTOR, 0.3)} END base FROM i),
 i3 AS (SELECT *, base*(1-least(greatest(coalesce(pf,0),0),1)) w FROM i2),
-i4 AS (SELECT *, CASE WHEN w >= .05*base THEN CASE WHEN classe='REFUTA' THEN w WHEN classe='SUSTENTA' AND NOT (muted AND NOT an) THEN -w END END st,
+i4 AS (SELECT *, CASE WHEN w >= .05*base THEN CASE WHEN classe='REFUTA' THEN w WHEN classe='SUSTENTA' AND NOT (muted AND NOT ag) THEN -w END END st,
  CASE WHEN veredito IS NOT NULL AND classe IN ('SUSTENTA','REFUTA') AND coalesce(origem_veredito,'')<>'pagina' AND {_DIR}<>0 THEN {_DIR}*1.5*{_case(ev.LABEL_FACTOR, 0.4)} END lb FROM i3),
 c AS (SELECT *, CASE WHEN usable THEN CASE WHEN st IS NULL THEN lb WHEN lb IS NULL THEN st WHEN sign(st)<>sign(lb) THEN NULL WHEN abs(st)>=abs(lb) THEN st ELSE lb END END contribution FROM i4)"""
+# Claims with their guards and the level of each query: late items discounted by 15 / (15 + excess), votes of clusters, two caps, conjunction.
+_LATE = "CASE WHEN coalesce(excess,0)>0 THEN CASE WHEN abs(sign(contribution)*ln(15/(15+excess)*exp(abs(contribution))+1-15/(15+excess)))>=.05*abs(contribution) THEN sign(contribution)*ln(15/(15+excess)*exp(abs(contribution))+1-15/(15+excess)) END ELSE contribution END"
+_GUARD = f"""g1 AS (SELECT consulta_id, afirmacao, coalesce(cluster_ind,url) k, contribution c, {{0}} v, {{1}} past, coalesce(confiabilidade,'') IN ('curada','institucional','alto_trafego') rel FROM c WHERE contribution IS NOT NULL),
+g2 AS (SELECT consulta_id, afirmacao, round(sum(v),9) s, max(v) hi, min(v) lo, round(sum(c),9) rs, bool_and(past) late, coalesce(bool_or(v>0 AND rel AND NOT past),false) ru, coalesce(bool_or(v<0 AND rel AND NOT past),false) rd, bool_or(c>0 AND NOT past) cu, bool_or(c<0 AND NOT past) cd FROM g1 GROUP BY 1,2,k),
+g3 AS (SELECT *, round(CASE WHEN s>0 THEN hi WHEN s<0 THEN lo END,4) vote FROM g2),
+g4 AS (SELECT consulta_id, afirmacao, count(vote) n_votes, count(*) FILTER (rs<>0) n_raw, bool_and(late) late, round(coalesce(sum(vote),0),9) raw, coalesce(bool_or(vote>0 AND ru),false) ru, coalesce(bool_or(vote<0 AND rd),false) rd, coalesce(bool_or(vote>0 AND cu),false) cu, coalesce(bool_or(vote<0 AND cd),false) cd FROM g3 GROUP BY 1,2),
+g5 AS (SELECT *, abs(raw)>={ev.TAU} AND NOT CASE WHEN raw>0 THEN ru ELSE rd END unreliable, {{2}} AND abs(raw)>={ev.TAU} AND NOT CASE WHEN raw>0 THEN cu ELSE cd END other_period FROM g4),
+g AS (SELECT *, CASE WHEN unreliable OR other_period THEN sign(raw)*.99*{ev.TAU} ELSE raw END l FROM g5)"""
+_GUARDED, _UNDISCOUNTED = _GUARD.format(_LATE, "coalesce(excess,0)>0", "true"), _GUARD.format("contribution", "false", "false")
+_DECISION = f"""h AS (SELECT *, (n_votes>0 OR (n_raw>0 AND late)) AND late AND abs(l)<{ev.TAU} AND count(*) FILTER (n_votes>0 OR (n_raw>0 AND late)) OVER (PARTITION BY consulta_id)>1 fora FROM g),
+j AS (SELECT consulta_id, count(*) FILTER (l>=0) n, max(l) top, least(greatest(1-exp(coalesce(sum(ln(1/(1+exp(l)))) FILTER (l>=0),0)),1e-12),1-1e-12) p FROM h WHERE NOT fora AND n_votes>0 GROUP BY 1),
+x AS (SELECT q.consulta_id, CASE WHEN n<=1 THEN top ELSE ln(p/(1-p)) END l, coalesce(f,false) f FROM (SELECT DISTINCT consulta_id FROM item_evidencia) q LEFT JOIN j USING (consulta_id) LEFT JOIN (SELECT consulta_id, bool_or(fora) f FROM h GROUP BY 1) USING (consulta_id)),
+y AS (SELECT consulta_id, l, CASE WHEN l IS NULL THEN 'indeterminada' WHEN l>={ev.TAU} THEN 'alta' WHEN l<=-{ev.TAU} THEN CASE WHEN f THEN 'media' ELSE 'baixa' END ELSE 'media' END nivel FROM x)"""
+_DECIDED = f", {_DECISION} SELECT consulta_id, round(l,6) log_odds, nivel FROM y"
+_FRASE = '(?s)^(.+?[.!?])(?:\\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ“"]|\\s*$)'
+
+
+def _content(c):
+    """Registry search tokens of a column, in SQL."""
+    stop = ",".join(f"'{w}'" for w in n.STOP_SEARCH + n.FRAMING)
+    return f"list_filter(list_transform(regexp_extract_all(lower(coalesce({c},'')),'[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_replace(strip_accents(w),'[^\\x00-\\x7F]','','g')), lambda b: length(b) >= CASE WHEN regexp_matches(b,'[0-9]') THEN 2 ELSE 3 END AND b NOT IN ({stop}))"
+
+
+def _numbers(c):
+    """Numbers that stand for themselves, in SQL: separators are doubled, so that each number has its own on both sides."""
+    return f"list_distinct(regexp_extract_all(' ' || regexp_replace(coalesce({c},''),'([^\\p{{L}}\\p{{N}}_-])','\\1\\1','g') || ' ','[^\\p{{L}}\\p{{N}}_-]([0-9]+)[^\\p{{L}}\\p{{N}}]',1))"
+
+
 _VOTES = "v AS (SELECT consulta_id, afirmacao, cluster_ind, round(CASE WHEN s>0 THEN hi WHEN s<0 THEN lo END, 4) vote FROM (SELECT consulta_id, afirmacao, cluster_ind, sum(contribution) s, max(contribution) hi, min(contribution) lo FROM c WHERE contribution IS NOT NULL GROUP BY 1,2,3) WHERE s<>0)"
 _GATE = f"CASE WHEN NOT coalesce(corpo_lido,false) THEN 'nao_lido' WHEN classe IS NULL OR coalesce(motor LIKE 'fallback%',false) THEN 'sem_juiz' WHEN classe NOT IN ('SUSTENTA','REFUTA') AND classe NOT LIKE 'RELATA%' THEN 'fora_do_tema' WHEN classe LIKE 'RELATA%' THEN 'relata' WHEN NOT coalesce(citacao_verificada,false) THEN 'sem_citacao' WHEN {_DIR}=0 THEN 'sem_direcao' ELSE 'aplicavel' END"
 _INDEX = f"""p AS (SELECT checagem_id doc, token, sum(w) tf FROM (SELECT checagem_id, unnest({_tokens('afirmacao_checada')}) token, 3 w FROM checagens UNION ALL SELECT checagem_id, unnest({_tokens('titulo')}), 2 FROM checagens UNION ALL SELECT checagem_id, unnest(({_tokens('trecho')})[1:80]), 1 FROM checagens) GROUP BY 1,2),
@@ -292,18 +348,28 @@ SELECT chave, CASE WHEN tk THEN n.checagem_id ELSE o.checagem_id END checagem_id
     "h07_majority": f"WITH t AS (SELECT rid, label, {_plain('text_no_url')} k FROM v6_pool), c AS (SELECT *, count(*) OVER (PARTITION BY k, label) n FROM t), m AS (SELECT *, max(n) OVER (PARTITION BY k) mx FROM c) SELECT rid, label FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN n=mx THEN 0 ELSE 1 END, rid)=1",
     "h09_title_jaccard": f"WITH t AS (SELECT checagem_id, list_distinct({_tokens('titulo')}) a, list_distinct({_tokens('afirmacao_checada')}) b FROM checagens WHERE afirmacao_checada IS NOT NULL) SELECT checagem_id, round(CASE WHEN len(list_distinct(a||b))>0 THEN len(list_intersect(a,b))/len(list_distinct(a||b)) ELSE 0.0 END,6) jaccard, round(CASE WHEN len(a)+len(b)>0 THEN 2*len(list_intersect(a,b))/(len(a)+len(b)) ELSE 0.0 END,6) dice FROM t",
     "h12_cluster_conflicts": f"SELECT * FROM (SELECT consulta_id, cluster_ind, count(DISTINCT veredito) v, count(DISTINCT data_pub[1:4]) anos FROM {_IT} WHERE veredito IS NOT NULL GROUP BY 1,2) WHERE v>1 OR anos>1",
-    "j01_bm25": f"""WITH {_INDEX}, s AS (SELECT query, doc, sum(ln((n-df+.5)/(df+.5))*{_PART}) score, count(*) hits FROM q JOIN df USING (token) JOIN p USING (token) JOIN sz USING (doc), tot GROUP BY 1,2),
-r AS (SELECT *, max(score) OVER (PARTITION BY query) best, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) rank FROM s WHERE score>0), m AS (SELECT query, quantile_cont(score,.5) mid FROM r WHERE rank>1 GROUP BY 1)
-SELECT query, doc, rank::INTEGER rank, round(score,4) score, hits FROM r LEFT JOIN m USING (query) WHERE score >= greatest(4, 2*coalesce(mid,0), .5*best) AND rank<=3""",
+    "j01_bm25": f"""WITH d AS (SELECT checagem_id doc, titulo, afirmacao_checada, trecho, regexp_replace(trim(coalesce(trecho,'')),'^(?:Boato|Hoax)\\s*[–—-]\\s*','') t FROM checagens),
+e AS (SELECT *, trim(CASE WHEN regexp_extract(t,'{_FRASE}',1)<>'' THEN regexp_extract(t,'{_FRASE}',1) ELSE t[1:250] END) frase, concat_ws(' ',afirmacao_checada,titulo) cerne FROM d),
+o AS (SELECT doc, unnest({_content('afirmacao_checada')}) token, 3 w, 1 c, 1 b FROM e UNION ALL SELECT doc, unnest({_content('titulo')}), 2, 1, 1 FROM e UNION ALL SELECT doc, unnest(({_content('trecho')})[1:80]), 1, 0, 0 FROM e UNION ALL SELECT doc, unnest({_content('frase')}), 0, 0, 1 FROM e),
+p AS (SELECT doc, token, sum(w) tf, max(c) core, max(b) wide FROM o GROUP BY 1,2),
+sz AS (SELECT doc, sum(tf) len FROM p WHERE tf>0 GROUP BY 1), tot AS (SELECT count(*) n, avg(len) av FROM sz),
+i0 AS (SELECT token, ln((n-df+.5)/(df+.5)) idf FROM (SELECT token, count(*) df FROM p WHERE tf>0 GROUP BY 1), tot),
+i AS (SELECT token, CASE WHEN idf<0 THEN .25*(SELECT avg(idf) FROM i0) ELSE idf END idf FROM i0),
+q AS (SELECT DISTINCT doc query, unnest({_content('titulo')}) token FROM e WHERE doc % 20 = 0), nq AS (SELECT query, count(*) n_q FROM q GROUP BY 1),
+al AS (SELECT query, sum(greatest(idf,0)) al FROM q JOIN i USING (token) GROUP BY 1),
+s AS (SELECT query, doc, round(sum(idf*{_PART}),4) score, sum(core) nc, sum(wide) nw, sum(greatest(idf,0)*core) cc, sum(greatest(idf,0)*wide) cw FROM q JOIN i USING (token) JOIN p USING (token) JOIN sz USING (doc), tot GROUP BY 1,2),
+r AS (SELECT *, max(score) OVER (PARTITION BY query) best, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) rank FROM s WHERE score>0),
+m AS (SELECT query, quantile_cont(score,.5) mid FROM r WHERE rank>1 GROUP BY 1),
+u AS (SELECT doc, {_numbers('cerne')} a, {_numbers("concat_ws(' ',cerne,frase)")} b FROM e), un AS (SELECT doc query, list_filter({_numbers('titulo')}, lambda x: NOT (length(x)<=9 AND x::INT BETWEEN 1900 AND 2100)) nums FROM e),
+f AS (SELECT r.query, r.doc, score, round(cc/coalesce(nullif(al,0),1),6) cc, round(cw/coalesce(nullif(al,0),1),6) cw, nc, nw, n_q, nums, a, b FROM r LEFT JOIN m USING (query) JOIN nq USING (query) JOIN al USING (query) JOIN u ON u.doc=r.doc JOIN un ON un.query=r.query WHERE score >= round(greatest(4, 2*coalesce(mid,0), .5*best),4)),
+g AS (SELECT *, nw>=least(3,n_q) AND cw>=.8 AND (len(nums)=0 OR list_has_any(nums,b)) pw, nc>=least(3,n_q) AND cc>=.6 AND (len(nums)=0 OR list_has_any(nums,a)) pc FROM f)
+SELECT query, doc, score, CASE WHEN pw THEN cw ELSE cc END score_rel, (CASE WHEN pw THEN nw ELSE nc END)::BIGINT n_terms FROM g WHERE pw OR pc QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)<=5""",
     "j02_bm25_plus": f"WITH {_INDEX}, s AS (SELECT query, doc, round(sum(ln((n+1)/df)*({_PART}+1)),4) score FROM q JOIN df USING (token) JOIN p USING (token) JOIN sz USING (doc), tot GROUP BY 1,2) SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER rank, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)<=3",
     "j04_interleave": f"SELECT item_id, row_number() OVER (PARTITION BY consulta_id, afirmacao ORDER BY CASE WHEN veredito IS NOT NULL THEN .3 ELSE 0 END + CASE WHEN coalesce(curada,false) THEN .15 ELSE 0 END + CASE WHEN coalesce(agencia,false) THEN .1 ELSE 0 END DESC, item_id)::INTEGER turn FROM {_IT} QUALIFY turn<=12",
     "j06_best": f"SELECT consulta_id, url, b.o ordem, b.i item_id FROM (SELECT consulta_id, url, min({{'o': CASE WHEN classe='REFUTA' THEN 0 WHEN classe='SUSTENTA' THEN 1 WHEN classe IS NOT NULL THEN 2 ELSE 3 END, 'i': item_id}}) b FROM {_IT} GROUP BY 1,2)",
     "j07_lag": "SELECT event_type, count(*) n, round(avg((epoch_us(ts)-epoch_us(antes))/1e6),2) segundos FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) antes FROM events) WHERE antes IS NOT NULL GROUP BY 1",
     "j10_sliding": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) na_hora FROM (SELECT *, floor(epoch_us(ts)/1000000)::BIGINT t FROM events)",
-    "k01_levels": f"""WITH {_CONTRIB}, {_VOTES}, a AS (SELECT consulta_id, afirmacao, sum(vote) l FROM v GROUP BY 1,2),
-j AS (SELECT consulta_id, count(*) FILTER (l>=0) n, max(l) top, least(greatest(1-exp(coalesce(sum(ln(1/(1+exp(l)))) FILTER (l>=0),0)),1e-12),1-1e-12) p FROM a GROUP BY 1),
-x AS (SELECT q.consulta_id, CASE WHEN n<=1 THEN top ELSE ln(p/(1-p)) END l FROM (SELECT DISTINCT consulta_id FROM item_evidencia) q LEFT JOIN j USING (consulta_id))
-SELECT consulta_id, round(l,6) log_odds, CASE WHEN l IS NULL THEN 'indeterminada' WHEN l>={ev.TAU} THEN 'alta' WHEN l<=-{ev.TAU} THEN 'baixa' ELSE 'media' END nivel FROM x""",
+    "k01_levels": f"WITH {_CONTRIB}, {_GUARDED} {_DECIDED}",
     "k02_contributions": f"WITH {_CONTRIB} SELECT item_id, round(contribution,4) contribuicao FROM c WHERE contribution IS NOT NULL",
     "k03_votes": f"WITH {_CONTRIB}, {_VOTES} SELECT * FROM v",
     "k05_discounted": f"WITH {_CONTRIB}, x AS (SELECT item_id, contribution c, sign(contribution)*ln(15/(15+excess)*exp(abs(contribution))+1-15/(15+excess)) l FROM c WHERE contribution IS NOT NULL AND excess>0) SELECT item_id, round(CASE WHEN abs(l)>=.05*abs(c) THEN l END,6) contribuicao FROM x",
@@ -313,9 +379,9 @@ SELECT consulta_id, round(l,6) log_odds, CASE WHEN l IS NULL THEN 'indeterminada
     "l07_per_class": "WITH o AS (SELECT text_no_url, label, min(rid) rid FROM v6_pool WHERE label IS NOT NULL AND length(text_no_url) BETWEEN 20 AND 600 GROUP BY 1,2) SELECT rid, label FROM o QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256(rid::VARCHAR))<=50",
     "m01_union": f"SELECT chave, array_to_string(list_sort(list_distinct(list(origem))),',') origens, count(*) n FROM (SELECT {_CANON} chave, 'checagens' origem FROM checagens UNION ALL SELECT {_CANON}, 'fonte_evidencia' FROM fonte_evidencia UNION ALL SELECT {_CANON}, 'link_lido' FROM link_lido) GROUP BY 1",
     "m02_pruned": f"SELECT checagem_id FROM (SELECT *, {_CANON} chave FROM checagens) WHERE veredito IS NOT NULL OR chave IN (SELECT {_CANON} FROM fonte_evidencia)",
-    "n03_limiter": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') inicio, user_id, count(*) n FROM events GROUP BY 1,2 HAVING count(*)>1",
+    "n03_limiter": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)<=2 passa FROM (SELECT *, epoch_us(ts) t FROM events)",
     "n05_stop": f"SELECT consulta_id, CASE WHEN ap THEN 'veredito' WHEN c>=2 THEN 'posturas' WHEN n>=12 THEN 'teto' ELSE 'outra_onda' END parada FROM (SELECT consulta_id, count(*) n, count(DISTINCT CASE WHEN classe IN ('SUSTENTA','REFUTA') THEN cluster_ind END) c, bool_or({_GATE}='aplicavel') ap FROM {_IT} GROUP BY 1)",
-    "o02_score": f"SELECT rid, round(least(greatest(.5 + CASE WHEN regexp_matches(p,'urgente|atencao') THEN .15 ELSE 0 END + CASE WHEN regexp_matches(p,'compartilhe|repassem') THEN .15 ELSE 0 END - CASE WHEN regexp_matches(p,'segundo|de acordo com') THEN .1 ELSE 0 END + CASE WHEN len(string_split(p,' '))<30 THEN .05 ELSE 0 END,.05),.95)::DOUBLE,3) prob FROM (SELECT rid, {_plain('text_no_url')} p FROM v6_pool)",
+    "o02_score": "SELECT rid, CASE WHEN e=0 THEN .5 ELSE round(least(greatest(.5+e+CASE WHEN n<30 THEN .05 ELSE 0 END,.05),.95),3) END::DOUBLE prob FROM (SELECT rid, " + " + ".join(f"CASE WHEN regexp_matches(coalesce(text_no_url,''), '{p}') THEN {w} ELSE 0 END" for p, w in SIGNS) + " e, CASE WHEN trim(coalesce(text_no_url,''))='' THEN 0 ELSE len(regexp_split_to_array(trim(text_no_url),'\\s+')) END n FROM v6_pool)",
     "gates_p01": "SELECT nome, valor, valor=0 ok FROM (SELECT 'rid_unico' nome, count(*)-count(DISTINCT rid) valor FROM v6_pool UNION ALL SELECT 'texto_nulo', count(*) FILTER (text_no_url IS NULL) FROM v6_pool UNION ALL SELECT 'sem_registro', count(*) FROM v6_splits WHERE rid NOT IN (SELECT rid FROM v6_pool))",
     "gates_p04_forbidden": f"SELECT portal_id, count(*) n FROM fonte_evidencia WHERE regexp_matches({_plain('titulo')}, '\\b(?:e falso|fake|mentira)\\b') GROUP BY 1",
     "q06_recovered": f"WITH t AS (SELECT corpo_id, list_distinct({_tokens('texto_completo')}) a, list_distinct({_tokens('trecho_corpo')}) b FROM corpo_lido WHERE length(texto_completo)>0) SELECT corpo_id, round(CASE WHEN len(a)>0 THEN len(list_intersect(a,b))/len(a) ELSE 0.0 END,6) share FROM t",

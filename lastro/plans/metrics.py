@@ -84,7 +84,7 @@ def i13_pivot(s, d):
 
 def i14_groups(s, d):
     t = table(s, d, "v6_pool").where("label IS NOT NULL").groupBy("grupo").agg(F.count("*").alias("n"), F.avg((F.col("label") == "fake").cast("double")).alias("f"))
-    return t.select("grupo", "n", F.round(F.least(F.col("f"), 1 - F.col("f")), 6).alias("minoria")).where("n >= 40 AND minoria >= 0.15")
+    return t.select("grupo", "n", F.round(F.least(F.col("f"), 1 - F.col("f")), 6).alias("minoria")).where("n >= 200 AND minoria >= 0.15")
 
 
 def i15_classification(s, d):
@@ -159,7 +159,7 @@ x AS (SELECT *, .1*(a+b) al, sum(a) OVER () na, sum(b) OVER () nb, .1*(sum(a) OV
 y AS (SELECT *, ln((a+al)/(na+a0-a-al))-ln((b+al)/(nb+a0-b-al)) delta FROM x) SELECT bigram, a, b, round(delta,5) delta, round(delta/sqrt(1/(a+al)+1/(b+al)),5) z FROM y""",
     "i13_lengths": "SELECT label, count(*) n, round(avg(word_len),6) media, round(median(word_len),6) mediana, round(stddev_samp(word_len),6) desvio, round(quantile_cont(word_len,.75),6) p75, round(quantile_cont(word_len,.95),6) p95 FROM v6_pool GROUP BY 1",
     "i13_pivot": "SELECT channel, count(*) FILTER (label='fake') fake, count(*) FILTER (label='true') \"true\", round(100.0*count(*) FILTER (label='fake')/(count(*) FILTER (label IN ('fake','true'))),6) pct_fake FROM v6_pool GROUP BY 1",
-    "i14_groups": "SELECT * FROM (SELECT grupo, count(*) n, round(least(avg((label='fake')::INT),1-avg((label='fake')::INT)),6) minoria FROM v6_pool WHERE label IS NOT NULL GROUP BY 1) WHERE n>=40 AND minoria>=.15",
+    "i14_groups": "SELECT * FROM (SELECT grupo, count(*) n, round(least(avg((label='fake')::INT),1-avg((label='fake')::INT)),6) minoria FROM v6_pool WHERE label IS NOT NULL GROUP BY 1) WHERE n>=200 AND minoria>=.15",
     "i15_classification": f"""WITH j AS (SELECT * FROM {_JUDGED}), c AS (SELECT {_CELLS}, avg((p-y)**2) brier FROM j), a AS ({_AUC.format('', '')}),
 ap AS (SELECT sum(pos*tp/seen)/sum(pos) ap FROM (SELECT pos, sum(pos) OVER (ORDER BY p DESC) tp, sum(n) OVER (ORDER BY p DESC) seen FROM (SELECT p, sum(y) pos, count(*) n FROM j GROUP BY 1)))
 SELECT n, round((tp+tn)/n,6) accuracy, round(({_F1P}+{_F1N})/2,6) macro_f1, round({_F1P},6) f1_pos, round({_F1N},6) f1_neg, round(brier,6) brier, round(auc,6) auc, round(ap,6) average_precision FROM c, a, ap""",

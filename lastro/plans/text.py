@@ -79,7 +79,7 @@ def c06_reason(s, d):
 
 QUERIES = {f.__name__: f for f in (b01_plain, b02_ascii, b07_tokens, b09_shingles, b12_first_tokens, b13_overlap, b19_era, b21_style, b24_redacted, b27_chunks, c01_canonical, c02_domain, c03_key, c06_reason)}
 
-_HOST = r"regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#:]+)', 1)), '^(www\.|m\.|amp\.)+', '')"
+_HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.([^.]*\..*)$', '\1'), '^amp\.([^.]*\..*)$', '\1'), '^m\.([^.]*\..*)$', '\1')"
 _PATH = r"regexp_replace(regexp_extract({0}, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '(/amp)?/*$', '')"
 _QUERY = r"array_to_string(list_sort(list_filter(string_split(regexp_extract({0}, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '" + u.TRACKING + "'))), '&')"
 _H, _P, _Q = _HOST.format("url"), _PATH.format("url"), _QUERY.format("url")

@@ -22,7 +22,7 @@ def _local(tag: str) -> str:
 
 def feed_items(raw: str | None) -> list[tuple]:
     """Items of one RSS or Atom document; of a broken one those that end before the break."""
-    if not raw:
+    if not raw or re.search(r"<!(?:DOCTYPE|ENTITY)\b", raw, re.I):  # declared entities are never expanded
         return []
     raw = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", raw.strip())
     try:

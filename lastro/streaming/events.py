@@ -15,12 +15,13 @@ def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour",
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("inicio"), by, "n")
 
 
-def limited(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
-    """Events of a stream with whether a limiter lets them pass: at most ``most`` per key within ``seconds``.
+def limited(events: DataFrame, key: str, id: str, ts: str, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(key, id, t, passa) of a stream: at most ``most`` events per key pass within ``seconds``, by event time.
 
-    State is the times of the last passes of each key, ``most`` of them; keys idle for the span are dropped.
+    State is the times of the last passes of each key, ``most`` of them; it goes once the watermark has left them behind.
+    Events of one batch are taken by time, then id.
     """
-    kind = events.schema[key].dataType.simpleString()
+    kind, id_kind = events.schema[key].dataType.simpleString(), events.schema[id].dataType.simpleString()
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -28,18 +29,19 @@ def limited(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> Da
             return
         passed = list(state.get[0]) if state.exists else []
         rows = []
-        for t in sorted(x for pdf in batches for x in pdf["_t"]):
+        for t, i in sorted(x for pdf in batches for x in zip(pdf["_t"], pdf["_id"], strict=True)):
             passed = [p for p in passed if p > t - seconds]
             ok = len(passed) < most
             if ok:
                 passed.append(t)
-            rows.append((k[0], t, ok))
+            rows.append((k[0], i, t, ok))
         state.update((passed,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame(rows, columns=[key, "t", "passa"])
+        state.setTimeoutTimestamp(max(1000 * (max(passed, default=0) + seconds), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=[key, id, "t", "passa"])
 
-    asked = events.select(F.col(key), F.unix_seconds(F.col(ts).cast("timestamp")).alias("_t"))
-    return asked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, t long, passa boolean", "passed array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    asked = timed.select(F.col(key), F.col(id).alias("_id"), F.unix_seconds("_ts").alias("_t"), "_ts")
+    return asked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {id} {id_kind}, t long, passa boolean", "passed array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merging(path: str, key: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:

@@ -5,6 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from lastro.functions import claims as c
 from lastro.functions import normalise as n
 from lastro.functions import urls as u
 from lastro.operators import evidence as ev
@@ -52,9 +53,15 @@ def test_decision_rules(spark):
         (2, 0, "a", "REFUTA", "fallback-r", True, True, None, None, "curada", None, True, None),
         (3, 0, "a", "SUSTENTA", "x", False, True, None, None, "curada", 1.0, False, None),  # nothing left of it
         (4, 0, "a", "REFUTA", "x", False, False, None, None, "curada", None, True, None),
+        (5, 0, "a", "REFUTA", "x", True, True, None, None, "curada", None, True, None),
+        (5, 0, "b", "SUSTENTA", "x", False, True, None, None, "alto_trafego", None, True, None),  # an agency that is not curated is muted as well
+        (6, 0, "a", "REFUTA", "x", False, True, "falso", None, "plataforma", None, False, None),
+        (6, 0, "b", "REFUTA", "x", False, True, "falso", None, "plataforma", None, False, None),  # strong, but no reliable source
     ]
-    got = {r["consulta_id"]: (r["log_odds"], r["nivel"]) for r in ev.decide(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {1: (1.5, "alta"), 2: (None, "indeterminada"), 3: (None, "indeterminada"), 4: (None, "indeterminada")}
+    got = {r["consulta_id"]: (r["log_odds"], r["nivel"]) for r in ev.decide(spark.createDataFrame(rows, schema).withColumn("url", F.lit("u")).withColumn("window", F.lit(15))).collect()}
+    assert got == {1: (1.5, "alta"), 2: (None, "indeterminada"), 3: (None, "indeterminada"), 4: (None, "indeterminada"), 5: (1.5, "alta"), 6: (0.99 * ev.TAU, "media")}
+    low = spark.createDataFrame([("alta", "media"), ("alta", "baixa"), ("media", "alta"), ("media", "indeterminada")], "a string, b string")
+    assert [r[0] for r in low.select(ev.lowered(F.col("a"), F.col("b"))).collect()] == ["media", "alta", "media", "indeterminada"]
     late = spark.range(1).select(ev.discounted(F.lit(1.5), F.lit(15), F.lit(15)).alias("a"), ev.discounted(F.lit(1.5), F.lit(15), F.lit(None).cast("int")).alias("b"), ev.discounted(F.lit(-1.5), F.lit(2), F.lit(4000)).alias("c")).first()
     assert 0 < late["a"] < 1.5 and late["b"] == 1.5 and late["c"] is None
 
@@ -75,12 +82,37 @@ def test_text_and_urls(spark):
     assert tuple(row) == ("acao e ok", "", 0, "https://site.example/a/b?a=1&b=2", "y.com.br", None, "[email] [telefone]")
 
 
+def test_json_titles_numbers(spark):
+    html = '<head><meta property="og:title" content="Do &amp; grafo"><title>T</title></head><h1>H</h1>'
+    row = spark.range(1).select(
+        c.first_json(F.lit('x {y} z {"a":3} {b}'), "a int")["a"].alias("a"), c.first_json(F.lit("nada"), "a int").alias("b"), c.page_title(F.lit(html)).alias("c"), c.page_title(F.lit("<h1>So <b>h</b></h1>")).alias("d"),
+        n.numbers(F.lit("CR7 gastou 7 ou 62, em 2020-11 5G")).alias("e"), n.content_tokens(F.lit("É falso que o 5G dá câncer em 3 dias")).alias("f"), u.canonical(F.lit("https://m.com/x")).alias("g"), u.canonical(F.lit("https://m.site.example/x")).alias("h"),
+    ).first()
+    assert tuple(row) == (3, None, "Do & grafo", "So h", ["7", "62", "2020"], ["5g", "cancer", "dias"], "https://m.com/x", "https://site.example/x")
+
+
+def test_platt_and_running_sums(spark):
+    import math
+
+    rows = [(z / 10, int((z * 7919) % 10 < 3 + z / 4)) for z in range(-30, 31)]
+    df = spark.createDataFrame([(z, y, "a") for z, y in rows] + [(0.0, None, "a"), (1.0, 1, None)], "z double, y int, g string")
+    a, b = m.platt(df.where("g = 'a'"), "z", "y")
+    p = [1 / (1 + math.exp(-(a * z + b))) for z, _ in rows]
+    assert abs(sum(y - q for (_, y), q in zip(rows, p, strict=True))) < 1e-4 and abs(sum((y - q) * z for (z, y), q in zip(rows, p, strict=True))) < 1e-4
+    assert m.platt(df.limit(0), "z", "y") == (0.0, 0.0)
+    pairs = [(s, t) for s, y in rows if y for t, x in rows if not x]
+    want = sum((s > t) + 0.5 * (s == t) for s, t in pairs) / len(pairs)
+    got = {r["g"]: r["auc"] for r in m.auc(df, "z", "y", ["g"]).collect()}
+    assert abs(got["a"] - want) < 1e-9 and None in got
+
+
 def test_feeds_posts_sitemaps(spark):
     rss = '<rss xmlns:c="u"><channel><item><title>A &amp; B</title><link>https://x.example/1</link><category>c1</category><c:encoded>t</c:encoded></item><item><title>quebrado & solto</title><guid>g2</guid></item>'
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link rel="self" href="s"/><link rel="alternate" href="https://x.example/2"/><updated>2020-01-01</updated></entry></feed>'
     df = spark.createDataFrame([(1, rss), (2, atom), (3, None), (4, "lixo")], "id int, raw string")
     got = [(r["id"], r["titulo"], r["link"]) for r in feeds.parse_feeds(df, "raw", ["id"]).orderBy("id", "link").collect()]
     assert sorted(got) == [(1, "A & B", "https://x.example/1"), (1, "quebrado & solto", "g2"), (2, "T", "https://x.example/2")]
+    assert feeds.feed_items('<!DOCTYPE x [<!ENTITY e "v">]><rss><channel><item><title>&e;</title></item></channel></rss>') == []
     posts = spark.createDataFrame([(1, json.dumps([{"title": {"rendered": "x"}, "link": "l", "date": "d"}])), (2, '{"code": 1}'), (3, None)], "id int, raw string")
     assert [tuple(r)[:4] for r in feeds.parse_posts(posts, "raw", ["id"]).collect()] == [(1, "x", "l", "d")]
     maps = spark.createDataFrame([("<urlset><url><loc> https://x.example/a </loc><lastmod>2020-02-03T00:00</lastmod></url><url><loc></loc></url></urlset>",), ("<sitemapindex><sitemap><loc>b</loc></sitemap></sitemapindex>",), (None,)], "raw string")
@@ -95,6 +127,19 @@ def test_files_round_trip(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "nada"), "id int").count() == 0
 
 
+def test_sources_of_ranks_pools_requests(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("1,A.example\n2, b.example\n9,c.example\n")
+    assert [tuple(r) for r in files.read_ranks(spark, str(tmp_path / "r.csv"), 2).orderBy("posicao").collect()] == [("a.example", 1), ("b.example", 2)]
+    spark.createDataFrame([(1, "x"), (2, "y")], "rid int, t string").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, "train"), (1, "train")], "rid int, lado string").write.parquet(str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in files.read_pool(spark, str(tmp_path / "p"), str(tmp_path / "s")).collect()) == [(1, "x", "train"), (2, "y", None)]
+    asked = spark.createDataFrame([("get", "https://a.example/x?b=2&a=1&token=s#f", None), ("GET", "https://a.example/x?a=1&b=2&token=t", None), ("GET", "https://a.example/x?a=1", "c")], "m string, u string, b string")
+    keys = [r[0] for r in asked.select(files.cassette_key("m", "u", "b")).collect()]
+    assert keys[0] == keys[1] != keys[2]
+    html = spark.createDataFrame([('<link rel="alternate" type="application/rss+xml" href="/f"><link type="application/atom+xml" href="/g"><link href="/f" type="application/rss+xml">',), (None,)], "h string")
+    assert [r[0] for r in html.select(feeds.feed_links("h")).collect()] == [["/f", "/g"], None]
+
+
 def test_stream_merge_is_idempotent(spark, tmp_path):
     run = st.merging(str(tmp_path / "t"), ["k"], lambda old, new: rg.upsert(old, new, ["k"], F.lit(True)))
     one = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
@@ -116,3 +161,25 @@ def test_stream_windows(spark, sf, tmp_path):
         assert spark.sql("SELECT sum(n) FROM w").first()[0] == events.count()
     finally:
         q.stop()
+
+
+def test_stream_limiter(spark, tmp_path):
+    base = [(i, "ab"[i % 2], 1_700_000_000 + 10 * i) for i in range(12)]
+    source = str(tmp_path / "in")
+    df = spark.createDataFrame(base, "id int, k string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df.coalesce(1).write.parquet(source)
+    q = st.limited(spark.readStream.schema(df.schema).parquet(source), "k", "id", "ts", 2, 50).writeStream.format("memory").queryName("lim").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        got = {r["id"]: r["passa"] for r in spark.sql("SELECT * FROM lim").collect()}
+    finally:
+        q.stop()
+    want = {}
+    for k in "ab":
+        passed = []
+        for i, key, t in base:
+            if key == k:
+                passed = [p for p in passed if p > t - 50]
+                want[i] = len(passed) < 2
+                passed += [t] if want[i] else []
+    assert got == want
