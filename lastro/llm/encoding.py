@@ -213,6 +213,20 @@ class Model:
         return "sound", word
 
 
+    def of_record(self, words: list[str]) -> str:
+        """The chain of a whole record from its garbled words: of the chains that restore most of them, the likeliest for all together; '' where none restores any."""
+        total, restored = np.zeros(len(CLASSES), np.float64), np.zeros(len(CLASSES), np.int64)
+        for w in words:
+            plain = html.unescape(w) if "&" in w else w
+            total += self.table[_features(plain)].sum(0)
+            for i, chain in enumerate(CLASSES):
+                back = invert(plain, chain) if chain in CHAINS else None
+                restored[i] += back is not None and back != plain and plausible(back)
+        if not restored.any():
+            return ""
+        return CLASSES[max(range(len(CLASSES)), key=lambda i: (restored[i], total[i]))]
+
+
 #: A word with anything outside ASCII or an entity; very short ones take the next word along.
 _WORD = r"(?<!\S)\S?[^\x00-\x7F\s]\S{0,1}[ \t]+\S+|\S*(?:[^\x00-\x7F\s]|&#?\w{2,8};)\S*"
 _WORD_PY = re.compile(_WORD.replace(r"\S", "[^ \t\n\r]").replace(r"\s", " \t\n\r").replace(r"\w", "[0-9A-Za-z]"))
@@ -231,59 +245,80 @@ def fit(texts: DataFrame, column: str, sample: int = SAMPLE_WORDS) -> Model:
 
 
 def judged(texts: DataFrame, keys: list[str], column: str, model: Model) -> DataFrame:
-    """The garbled texts: keys, their chains with counts of distinct words, and the number of words lost for good."""
-    schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys) + ", cadeias string, palavras int, perdidas int"
+    """The garbled texts: keys, the chain of the record (cadeia), the chains of its words with counts of distinct words, and the number of words lost for good."""
+    schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys) + ", cadeia string, cadeias string, palavras int, perdidas int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, bool]] = {}
+        known = _Known(model)
         for pdf in batches:
             rows = []
             for i, ws in enumerate(pdf["_w"]):
                 found: dict[str, int] = {}
-                lost = 0
+                lost, garbled = 0, []
                 for w in ws:
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        chain, back = model.judge(w)
-                        known[w] = (chain, back is None)
-                    chain, gone = known[w]
+                    chain, back = known(w)
                     if chain != "sound":
                         found[chain] = found.get(chain, 0) + 1
-                        lost += gone
+                        lost += back is None
+                        garbled.append(w)
                 if found:
-                    rows.append((i, "; ".join(f"{c} {n}" for c, n in sorted(found.items())), sum(found.values()), lost))
+                    record = next(iter(found)) if len(found) == 1 and not lost else model.of_record(garbled)
+                    rows.append((i, record, "; ".join(f"{c} {n}" for c, n in sorted(found.items())), sum(found.values()), lost))
             if not rows:
                 continue
             out = pdf.iloc[[r[0] for r in rows]][keys].reset_index(drop=True)
-            out["cadeias"], out["palavras"], out["perdidas"] = [r[1] for r in rows], np.array([r[2] for r in rows], "int32"), np.array([r[3] for r in rows], "int32")
+            out["cadeia"], out["cadeias"], out["palavras"], out["perdidas"] = [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], "int32"), np.array([r[4] for r in rows], "int32")
             yield out
 
     asked = texts.select(*keys, suspects(F.col(column)).alias("_w")).where(F.size("_w") > 0)
     return asked.mapInPandas(run, schema)
 
 
+class _Known:
+    """Judgements of words, kept within a task; words that recur are judged once."""
+
+    def __init__(self, model: Model, room: int = 500_000) -> None:
+        self.model, self.room, self.seen = model, room, {}
+
+    def __call__(self, word: str) -> tuple[str, str | None]:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) >= self.room:
+                self.seen.clear()
+            got = self.seen[word] = self.model.judge(word)
+        return got
+
+
 def restored(texts: DataFrame, keys: list[str], column: str, model: Model) -> DataFrame:
-    """keys, the text with every restorable word restored, whether it changed, and whether something in it is lost."""
+    """keys, the text with every restorable word restored, whether it changed, and whether something in it is lost.
+
+    The chain of the whole record is tried first on each of its garbled words, then the word's own.
+    """
     schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys) + ", texto string, mudou boolean, perda boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known(model)
         for pdf in batches:
             out = pdf[keys].copy()
             texts_, changed, losses = [], [], []
             for text in pdf["_t"]:
-                lost = False
+                judged_ = {w: known(w) for w in {m[0] for m in _WORD_PY.finditer(text)}}
+                garbled = {w: v for w, v in judged_.items() if v[0] != "sound"}
+                chains = {c for c, back in garbled.values() if back is not None}
+                record = model.of_record(sorted(garbled)) if len(chains) > 1 else ""
 
                 def one(m: re.Match) -> str:
-                    nonlocal lost
-                    chain, back = model.judge(m[0])
-                    lost |= back is None
-                    return m[0] if chain == "sound" or back is None else back
-
-                new = _WORD_PY.sub(one, text)
+                    chain, back = judged_[m[0]]
+                    if chain == "sound" or back is None:
+                        return m[0]
+                    plain = html.unescape(m[0]) if "&" in m[0] else m[0]
+                    whole = invert(plain, record) if record and record != chain else None
+                    return whole if whole is not None and whole != plain and plausible(whole) else back
+
+                new = _WORD_PY.sub(one, text) if garbled else text
                 texts_.append(unicodedata.normalize("NFC", new) if new != text else text)
                 changed.append(new != text)
-                losses.append(lost)
+                losses.append(any(back is None for _, back in garbled.values()))
             out["texto"], out["mudou"], out["perda"] = texts_, changed, losses
             yield out
 

@@ -10,7 +10,7 @@ one url count once; empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastro.functions.text import letters_key
@@ -61,6 +61,42 @@ def crossed(counted: DataFrame, least: int = 4, share: int = 20) -> DataFrame:
     return counted.where(over(F.col("after"), F.col("urls"), least, share)).select("source", "k", F.col("after").alias("n_urls"), "urls", (~was).alias("newly"))
 
 
+class State:
+    """Line counts under ``path``, grown by deltas: which (source, line, url) each delta brought first, and the counts after it.
+
+    A delta is compared with what its own urls had before, so that a page read again counts once; then counts are added up.
+    Nothing lives outside the folder; a delta that is tried again under its name replaces what it left then. Names must sort
+    in the order of the deltas.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _names(self) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(p.getName() for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def append(self, rows: DataFrame, name: str) -> DataFrame:
+        """Merge ``pairs`` of a delta; the lines over the threshold after it, with ``newly`` (see ``crossed``)."""
+        earlier = [x for x in self._names() if x < name]
+        delta = rows.select("source", "k", "u").distinct()
+        if earlier:
+            known = self.spark.read.parquet(*[f"{self.path}/pairs/{x}" for x in earlier]).alias("o")
+            again = known.join(delta.select("source", "u").distinct(), ["source", "u"], "left_semi").alias("o")
+            same = (F.col("d.source") == F.col("o.source")) & (F.col("d.u") == F.col("o.u")) & F.col("d.k").eqNullSafe(F.col("o.k"))
+            delta = delta.alias("d").join(again, same, "left_anti")
+        delta.write.mode("overwrite").parquet(f"{self.path}/pairs/{name}")
+        new = self.spark.read.parquet(f"{self.path}/pairs/{name}").groupBy("source", "k").agg(F.count("*").alias("n")).withColumn("old", F.lit(0).cast("long"))
+        if earlier:
+            new = new.unionByName(self.spark.read.parquet(f"{self.path}/counts/{earlier[-1]}").select("source", "k", F.lit(0).cast("long").alias("n"), F.col("after").alias("old")))
+        new.groupBy("source", "k").agg(F.sum("old").alias("before"), (F.sum("old") + F.sum("n")).alias("after")).write.mode("overwrite").parquet(f"{self.path}/counts/{name}")
+        each = self.spark.read.parquet(f"{self.path}/counts/{name}")
+        urls = each.where(F.col("k").isNull()).select("source", F.col("before").alias("urls_before"), F.col("after").alias("urls"))
+        return crossed(each.where(F.col("k").isNotNull()).join(urls, "source"))
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a written table), marked for broadcast only where its rows were counted and found few."""
     return F.broadcast(df) if df.count() <= rows else df

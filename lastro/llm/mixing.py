@@ -67,14 +67,14 @@ def landing(pi: list[float], size: list[int]) -> list[int]:
     return list(min(product((0, 1), repeat=len(pi)), key=lambda x: (abs(sum(c * s for c, s in zip(x, size, strict=True)) - tokens), abs(sum(x) - n), x)))
 
 
-def rates(per_source: list[tuple[str, float, int, int]], total: float | None = None) -> dict[str, tuple[float, float]]:
+def rates(per_source: list[tuple[str, float, int, int]], total: float | None = None, stretch: float = 1.0) -> dict[str, tuple[float, float]]:
     """source -> (copies per document, target tokens) from (source, weight, repetitions, tokens)."""
     live = [(s, w, r, t) for s, w, r, t in per_source if t and w > 0 and r > 0]
     share = sum(w for _, w, _, _ in live)
     if not live:
         return {}
     reachable = min(r * t / (w / share) for _, w, r, t in live)
-    want = reachable if total is None else total
+    want = reachable * stretch if total is None else total
     return {s: (min(float(r), want * w / share / t), want * w / share) for s, w, r, t in live}
 
 
@@ -105,9 +105,11 @@ def closed(landed: DataFrame, goals: dict[str, float]) -> DataFrame:
     return asked.select("source", "id", "tokens", "gap", "o").groupBy("source").applyInPandas(take, f"source string, id {kind}, tokens int, flip boolean")
 
 
-def mix(docs: DataFrame, id: str, source: str, text: str, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id: str, source: str, text: str, targets: DataFrame, total: float | None = None, stretch: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """The mix (id, source, tokens, copias; rows with copies only) and its report per source of ``targets`` (source, peso_alvo, max_repeticoes).
 
+    The total is ``total`` tokens, or ``stretch`` times the largest that all sources can reach.
+
     The targets and one sum per source come to the driver: as many rows as there are targets.
     """
     wanted = {r["source"]: (float(r["peso_alvo"]), int(r["max_repeticoes"])) for r in targets.where("source IS NOT NULL AND peso_alvo IS NOT NULL").select("source", "peso_alvo", F.coalesce("max_repeticoes", F.lit(1)).alias("max_repeticoes")).collect()}
@@ -115,7 +117,7 @@ def mix(docs: DataFrame, id: str, source: str, text: str, targets: DataFrame, to
     sized = docs.where((F.length(text) > 0) & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("_t")).join(listed, "source")
     sized = written(sized.select("id", "source", n_tokens(F.col("_t")).alias("tokens")).where("tokens > 0"))
     sums = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    rate = rates([(s, w, r, sums.get(s, (0, 0))[0]) for s, (w, r) in wanted.items()], total)
+    rate = rates([(s, w, r, sums.get(s, (0, 0))[0]) for s, (w, r) in wanted.items()], total, stretch)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, int(r + EPS), max(0.0, r - int(r + EPS)), max(1, -(-sums[s][1] // BLOCK_ROWS))) for s, (r, _) in rate.items()], "source string, whole int, pi double, blocks int")
     kind = sized.schema["id"].dataType.simpleString()

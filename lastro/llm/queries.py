@@ -21,9 +21,13 @@ def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters that the given columns divide: rows grouped by the cluster they name themselves."""
-    rows = table(spark, d, "v6_splits").where("near_dup_cluster IS NOT NULL AND near_dup_cluster <> -1")
-    # A rid delivered twice may name two clusters; each gets the sides of its own row only.
+    """Clusters that the given columns divide: components whose rows lie on several sides, then within these each cluster by the rows that name it."""
+    rows = table(spark, d, "v6_splits")
+    members = written(splits.components(rows, "rid", ["near_dup_cluster"]))
+    touched = splits.divided(rows, "rid", SPLIT_COLUMNS, members).select("component").distinct()
+    inside = members.join(touched, "component", "left_semi").select(F.col("id").alias("rid"))
+    rows = rows.where("near_dup_cluster IS NOT NULL AND near_dup_cluster <> -1").join(inside, "rid", "left_semi")
+    # A rid delivered twice may name two clusters, which are one component; each gets the sides of its own row only.
     rows = rows.withColumn("id", F.struct("rid", "near_dup_cluster"))
     named = rows.select("id", F.col("near_dup_cluster").alias("component")).distinct()
     return splits.divided(rows, "id", SPLIT_COLUMNS, named).select(F.col("component").alias("near_dup_cluster"), "coluna")
@@ -55,12 +59,12 @@ def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pages = _pages(spark, d)
     # The latest month of reading is the new partition; all before it is the state that it is merged into.
     latest = table(spark, d, "corpo_lido").agg(F.date_trunc("month", F.max("lido_em"))).first()[0]
-    new = F.when(F.col("lido_em") >= F.lit(latest), 1).otherwise(0)
-    args = (pages, "corpo_id", "portal_id", "url", "texto_completo")
-    rows = lines.pairs(*args, new)
-    state = lines.merge(None, rows)  # state and delta in one grouping
-    repeated = written(lines.crossed(lines.counts(state, 1)))
-    return pages, lines.found(lines.exploded(*args), lines.sized(repeated))
+    new = F.coalesce(F.col("lido_em") >= F.lit(latest), F.lit(False))
+    state = lines.State(spark, f"{shared_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}")
+    args = ("corpo_id", "portal_id", "url", "texto_completo", F.lit(0))
+    state.append(lines.pairs(pages.where(~new), *args), "0-before")
+    repeated = written(state.append(lines.pairs(pages.where(new), *args), "1-latest"))
+    return pages.withColumn("_new", new), lines.found(lines.exploded(pages, *args[:-1]), lines.sized(repeated))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +72,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return places.select(F.col("doc_id").alias("corpo_id"), "linha_no")
 
 
+def p7_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The bodies that the latest partition makes necessary to write anew: its own, and earlier ones that hold a line which crossed the threshold with it."""
+    pages, places = _repeated(spark, d)
+    mine = places.join(pages.select(F.col("corpo_id").alias("doc_id"), "_new"), "doc_id")
+    asked = mine.where("_new OR newly").select("doc_id").distinct()
+    return lines.rebuilt(table(spark, d, "corpo_lido"), "corpo_id", "texto_completo", places.join(asked, "doc_id", "left_semi")).withColumnRenamed("doc_id", "corpo_id")
+
+
 def p7_lines(spark: SparkSession, d: str) -> DataFrame:
     """Repeated lines per portal with one spelling, their urls and the portal's."""
     pages = _pages(spark, d)
@@ -113,6 +125,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mistura_alvo"))[1]
 
 
+def p9_beyond(spark: SparkSession, d: str) -> DataFrame:
+    """Shares at eight times the total that all sources can reach: short ones repeat as often as they may and fall short, the others reach theirs of that total."""
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mistura_alvo"), stretch=8.0)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text").where("cut").select("doc_id")
 
@@ -210,7 +227,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.counts(*_overlaps(spark, d), of)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p3_found, p3_main_text, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shares, p10_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sides, p1_shares, p2_found, p2_chains, p2_restored, p3_found, p3_main_text, p4_found, p4_batch, p6_found, p6_counts, p7_found, p7_lines, p7_clean, p7_rebuilt, p8_pack, p8_usage, p9_mix, p9_shares, p9_beyond, p10_found, p10_shares, p10_limits)}
 SQL = {
     "p1_found": """
 WITH lados AS (

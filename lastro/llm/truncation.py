@@ -155,5 +155,5 @@ def judged(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
 
 
 def cut_shares(judged_: DataFrame) -> DataFrame:
-    """Per source: texts, cut texts and their share."""
-    return judged_.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("cut").cast("int")).alias("n_cut")).withColumn("share", F.col("n_cut") / F.col("n"))
+    """Per source: texts, cut texts, those of them at a hidden limit, and the share of cut texts."""
+    return judged_.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("cut").cast("int")).alias("n_cut"), F.sum((F.col("cut") & F.col("limit")).cast("int")).alias("n_limite")).withColumn("share", F.col("n_cut") / F.col("n"))
