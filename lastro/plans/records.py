@@ -73,8 +73,7 @@ def i20_indicators(s, d):
 
 
 def i24_recall(s, d):
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 4)), "doc")
-    found = se.search(_index(s, d), _queries(s, d)).withColumn("rank", F.row_number().over(w)).where("rank <= 3 AND query = doc")
+    found = se.best(_index(s, d), _queries(s, d), 3).where("query = doc")
     total = _queries(s, d).select("query").distinct().agg(F.count("*").alias("n"))
     g = found.agg(F.count_if(F.col("rank") == 1).alias("a"), F.count("*").alias("b"))
     return g.join(total, F.lit(True)).select("n", F.round(F.col("a") / F.col("n"), 6).alias("r1"), F.round(F.col("b") / F.col("n"), 6).alias("r3"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lastro.functions import claims as c
@@ -183,3 +184,42 @@ def test_stream_limiter(spark, tmp_path):
                 want[i] = len(passed) < 2
                 passed += [t] if want[i] else []
     assert got == want
+
+
+def _shuffled(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize(("plan", "name"), [("records", "i24_recall")])
+def test_search_moves_no_pairs(spark, tmp_path, plan, name):
+    """As SQL, on records that share words with all others, in several blocks, with ties, empty fields and words of most records."""
+    import importlib
+    import random
+
+    import duckdb
+    import pandas as pd
+    from conftest import rows_of
+
+    rnd = random.Random(7)
+    vocabulary = [f"palavra{i}" for i in range(40)]
+    text = lambda n: " ".join(["comum", *rnd.choices(vocabulary, k=n)])
+    rows = []
+    for i in range(1, 2001):
+        title, claim, excerpt = f"{text(6)} {rnd.choice(['', '12', '2019', '350'])}", rnd.choice([None, text(5)]), rnd.choice([None, "", f"{text(8)}. {text(9).capitalize()} 12."])
+        rows.append((i, *rows[-1][1:]) if i % 9 == 0 else (i, title, claim, excerpt))
+    rows[19] = (20, None, None, None)
+    rows[39] = (40, "", "", "")
+    t = pd.DataFrame(rows, columns=["checagem_id", "titulo", "afirmacao_checada", "trecho"])
+    t.to_parquet(tmp_path / "checagens.parquet", index=False)
+    module = importlib.import_module(f"lastro.plans.{plan}")
+    con = duckdb.connect()
+    con.register("checagens", t)
+    before = _shuffled(spark)
+    got = module.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert _shuffled(spark) - before < 100 * 2000 / 2  # half a row per pair of query and record
+    want = con.execute(module.SQL[name]).df()
+    assert len(want) and rows_of(got) == rows_of(want)
