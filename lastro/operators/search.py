@@ -229,30 +229,6 @@ def best(index: DataFrame, queries: DataFrame, k: int, plus: float | None = None
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id: str, fields: list[tuple[Column, int]]) -> DataFrame:
-    """(doc, token, tf): counts of tokens, each field's times its boost; fields are arrays of tokens."""
-    parts = [docs.select(F.col(id).alias("doc"), F.explode(c).alias("token"), F.lit(boost).alias("w")) for c, boost in fields]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("doc", "token").agg(F.sum("w").alias("tf"))
-
-
-def search(index: DataFrame, queries: DataFrame, plus: float | None = None) -> DataFrame:
-    """(query, doc, score, hits) of queries (query, token): BM25 Okapi, or BM25+ with the given delta."""
-    size = index.groupBy("doc").agg(F.sum("tf").alias("len"))
-    total = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.select("query", "token").distinct().join(df, "token").join(F.broadcast(total), F.lit(True))
-    if plus is None:
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    else:
-        idf = F.log((F.col("n") + 1) / F.col("df"))
-    hit = asked.select("query", "token", idf.alias("idf"), "avg").join(index, "token").join(size, "doc")
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg"))) + (plus or 0.0)
-    return hit.groupBy("query", "doc").agg(F.sum(F.col("idf") * part).alias("score"), F.count("*").alias("hits"), F.sum(F.greatest("idf", F.lit(0.0))).alias("weight"))
-
-
 def relative_cut(found: DataFrame, least: float = 4.0, k: int = 3) -> DataFrame:
     """The best k per query with a score of at least ``least``, twice the median of the others and half the best; scores count to four places, so that the order of a sum decides nothing."""
     w = Window.partitionBy("query")

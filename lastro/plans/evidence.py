@@ -119,11 +119,6 @@ def _index(s, d):
     return se.index(t, "checagem_id", [(n.tokens(F.col("afirmacao_checada")), 3, 0), (n.tokens(F.col("titulo")), 2, 0), (F.slice(n.tokens(F.col("trecho")), 1, 80), 1, 0)])
 
 
-def _postings(s, d):
-    t = table(s, d, "checagens")
-    return written(se.postings(t, "checagem_id", [(n.tokens(F.col("afirmacao_checada")), 3), (n.tokens(F.col("titulo")), 2), (F.slice(n.tokens(F.col("trecho")), 1, 80), 1)]))
-
-
 def _sentence(c):
     """First sentence of an excerpt, up to a mark before a capital; its first 250 characters where none ends."""
     t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^(?:Boato|Hoax)\s*[–—-]\s*", "")
@@ -143,8 +138,7 @@ def j01_bm25(s, d):
 
 
 def j02_bm25_plus(s, d):
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 4)), "doc")
-    return se.search(_postings(s, d), _queries(s, d), plus=1.0).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query", "doc", "rank", F.round("score", 4).alias("score"))
+    return se.best(_index(s, d), _queries(s, d), 3, plus=1.0).select("query", "doc", "rank", "score")
 
 
 def j04_interleave(s, d):
