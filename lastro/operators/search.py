@@ -110,6 +110,11 @@ def _pairs(index: DataFrame, asked: DataFrame) -> DataFrame:
     return index.crossJoin(F.broadcast(blocks) if count <= FEW else written(blocks)).drop("df", "n", "total")
 
 
+def number_tokens(numbers: Column) -> Column:
+    """Numbers as tokens that no text has."""
+    return F.transform(numbers, lambda x: F.concat(F.lit("#"), x))
+
+
 class _Pair:
     """One block of documents and one of queries, opened: local tokens of each query and what each posting adds to a score."""
 
@@ -139,6 +144,33 @@ class _Pair:
         self.lists: dict[int, tuple] = {}
         self.acc = np.zeros(self.size)
 
+    def cover(self, batch: pa.RecordBatch, i: int) -> None:
+        """Opens what ``registry_search`` asks for besides scores."""
+        self.n_q, self.every = self.asked.field("n_q").to_pylist(), self.asked.field("every").to_pylist()
+        numbers = self.asked.field("numbers")
+        local = pc.fill_null(pc.index_in(numbers.values, value_set=batch.column("vocabulary")[i].values), -1).to_pylist()
+        offsets = numbers.offsets.to_pylist()
+        self.n_numbers = [b - a for a, b in zip(offsets, offsets[1:])]
+        self.numbers = [[t for t in local[a:b] if t >= 0] for a, b in zip(offsets, offsets[1:])]
+
+    def add_weight(self, acc: np.ndarray, t: int) -> None:
+        """A token's weight in all documents where a posting is marked as wide."""
+        held = self.lists.get(t)
+        if held is None:
+            a, b = self.starts[t], self.ends[t]
+            at = self.at[a:b][self.marks[a:b] & WIDE > 0]
+            held = at, max(self.idf[t], 0.0)
+            if len(at) * 14 > self.size:
+                whole = np.zeros(self.size)
+                whole[at] = held[1]
+                held = None, whole
+            self.lists[t] = held
+        at, weight = held
+        if at is None:
+            acc += weight
+        else:
+            acc[at] += weight
+
     def add(self, acc: np.ndarray, t: int) -> None:
         """A token's share of all scores; the token of many documents as one array over all of them."""
         held = self.lists.get(t)
@@ -229,57 +261,117 @@ def best(index: DataFrame, queries: DataFrame, k: int, plus: float | None = None
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def relative_cut(found: DataFrame, least: float = 4.0, k: int = 3) -> DataFrame:
-    """The best k per query with a score of at least ``least``, twice the median of the others and half the best; scores count to four places, so that the order of a sum decides nothing."""
-    w = Window.partitionBy("query")
-    pos = found.withColumn("score", F.round("score", 4)).where("score > 0").withColumn("best", F.max("score").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc")))
-    others = pos.where("rank > 1").groupBy("query").agg(F.percentile("score", F.lit(0.5)).alias("mid"))
-    cut = F.greatest(F.lit(least), 2 * F.coalesce("mid", F.lit(0.0)), 0.5 * F.col("best"))
-    return pos.join(others, "query", "left").where((F.col("score") >= F.round(cut, 4)) & (F.col("rank") <= k)).drop("best", "mid")
-
-
-def field_postings(docs: DataFrame, id: str, claim: Column, title: Column, excerpt: Column, sentence: Column) -> DataFrame:
-    """(doc, token, tf, core, wide): counts with claim x 3, title x 2, excerpt x 1; whether claim or title hold the token (core), or those or the excerpt's first sentence (wide)."""
-    fields = [(claim, 3, 1, 1), (title, 2, 1, 1), (excerpt, 1, 0, 0), (sentence, 0, 0, 1)]
-    parts = [docs.select(F.col(id).alias("doc"), F.explode(c).alias("token"), F.lit(w).alias("w"), F.lit(core).alias("c"), F.lit(wide).alias("b")) for c, w, core, wide in fields]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return every.groupBy("doc", "token").agg(F.sum("w").alias("tf"), F.max("c").alias("core"), F.max("b").alias("wide"))
-
+def _passing(pair: _Pair, j: int, terms: int, core: float, wide: float, k: int) -> tuple[np.ndarray, ...] | None:
+    """The j-th query's k best documents that pass a path: (doc, score, share, terms)."""
+    local, every, n_q = pair.terms[j], pair.every[j], pair.n_q[j]
+    if every <= 0:
+        return None
+    pair.acc.fill(0.0)
+    for t in local:  # weight that claim, title and first sentence hold; the rest can't pass
+        pair.add_weight(pair.acc, t)
+    at = np.flatnonzero(pair.acc >= min(core, wide) * every * (1 - 1e-6) - 1e-6)
+    if not len(at):
+        return None
+    score, has, weight, number = np.zeros(len(at)), {CORE: np.zeros(len(at), np.int64), WIDE: np.zeros(len(at), np.int64)}, {CORE: np.zeros(len(at)), WIDE: np.zeros(len(at))}, np.zeros(len(at), np.uint8)
+
+    def held(t: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = pair.starts[t], pair.ends[t]
+        p = np.searchsorted(pair.at[a:b], at)
+        i = np.flatnonzero((p < b - a) & (pair.at[a:b].take(p, mode="clip") == at)) if b > a else np.empty(0, np.int64)
+        return i, a + p[i]
+
+    for t in local:  # in the order of scores()
+        i, p = held(t)
+        score[i] += pair.part[p]
+        for m in (CORE, WIDE):
+            on = i[pair.marks[p] & m > 0]
+            has[m][on] += 1
+            weight[m][on] += max(pair.idf[t], 0.0)
+    for t in pair.numbers[j]:
+        i, p = held(t)
+        number[i] |= pair.marks[p]
+    share = {m: _rounded(weight[m] / every, 6) for m in (CORE, WIDE)}
+    free = pair.n_numbers[j] == 0
+    path = lambda m, least, n: (has[m] >= min(terms, n_q)) & (share[m] >= least) & (free | (number & n > 0))
+    by_wide = path(WIDE, wide, WIDE_NUMBER)
+    score = _rounded(score)
+    ok = np.flatnonzero((by_wide | path(CORE, core, CORE_NUMBER)) & (score > 0))
+    ok = ok[np.lexsort((at[ok], -score[ok]))[:k]]
+    pick = lambda x: np.where(by_wide[ok], x[WIDE][ok], x[CORE][ok])
+    return pair.docs[at[ok]], score[ok], pick(share), pick(has)
+
+
+def _counted(index: DataFrame, asked: DataFrame, edges: bool) -> DataFrame:
+    """(query, half, below, found, best) of asked queries with halves: how many documents have a score, up to a half, and the best of all; with edges also (low, high), the scores next to each half."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair, rows = _Pair(batch, i, 0.0), []
+                for j, (q, halves) in enumerate(zip(pair.query.tolist(), pair.asked.field("halves").to_pylist())):
+                    score = pair.scores(j)
+                    found, most = int(np.count_nonzero(score >= 0.5e-4)), float(_rounded(score.max(keepdims=True))[0])
+                    if not found:
+                        continue
+                    for h in halves:
+                        limit = (h + 0.5) / 1e4  # what rounds to more than the half
+                        below = int(np.count_nonzero(score < limit)) - (pair.size - found)
+                        low = high = None
+                        if edges:
+                            low = float(_rounded(np.max(score, where=score < limit, initial=0.0, keepdims=True))[0])
+                            high = float(_rounded(np.min(score, where=score >= limit, initial=1e9, keepdims=True))[0])
+                        rows.append((q, h, below, found, most, low, high))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["query", "half", "below", "found", "best", "low", "high"])
+
+    out = _pairs(index, asked).mapInArrow(count, "query long, half long, below long, found long, best double, low double, high double")
+    out = out.groupBy("query", "half").agg(F.sum("below").alias("below"), F.sum("found").alias("found"), F.max("best").alias("best"), F.max("low").alias("low"), F.min("high").alias("high"))
+    return out if edges else out.drop("low", "high")
+
+
+def registry_search(index: DataFrame, queries: DataFrame, query_numbers: DataFrame, k: int = 5, least_terms: int = 3, core: float = 0.6, wide: float = 0.8, least: float = 4.0, epsilon: float = 0.25) -> DataFrame:
+    """(query, doc, score, score_rel, n_terms): the best k per query that pass the relative cut and one of two paths.
 
-def covered(index: DataFrame, queries: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(query, doc, score, n_q, n_core, n_wide, core, wide) of queries (query, token) on ``field_postings``: Okapi scores, and how much of the query's weight claim and title hold, or those and the first sentence.
+    The cut wants a score of at least ``least``, twice the median of all scores but the best, and half the best; scores count to
+    four places. A path wants ``least_terms`` distinct terms (all, if the query has fewer), its share of the query's weight, and
+    one number of the query, if it has any that is no year. The first path looks at claim and title, the second at the excerpt's
+    first sentence as well. A token in more than half of all documents weighs ``epsilon`` of the mean; weights below nothing
+    cover nothing. The index marks postings as CORE and WIDE, and holds numbers as ``number_tokens`` without a boost.
 
-    A token in more than half of all documents weighs ``epsilon`` of the mean; weights below nothing cover nothing.
+    As the cut only falls with the score, the k best that pass a path are found first; then all scores of the queries that have
+    any are counted up to half of theirs, which tells on which side of it the median lies. The median itself is looked up only
+    where it lies between two scores on either side of that half.
     """
-    held = index.where("tf > 0")
-    size = held.groupBy("doc").agg(F.sum("tf").alias("len"))
-    total = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))  # one row
-    df = held.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.agg((epsilon * F.avg("idf")).alias("least"))  # one row
-    asked = queries.select("query", "token").distinct()
-    size_q = asked.groupBy("query").agg(F.count("*").alias("n_q"))
-    known = asked.join(df, "token").join(F.broadcast(mean), F.lit(True)).withColumn("idf", F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf")))
-    weight = known.groupBy("query").agg(F.sum(F.greatest("idf", F.lit(0.0))).alias("all"))
-    hit = known.join(index, "token").join(size, "doc")
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    pos = F.greatest("idf", F.lit(0.0))
-    g = hit.groupBy("query", "doc").agg(F.sum(F.col("idf") * part).alias("score"), F.sum("core").alias("n_core"), F.sum("wide").alias("n_wide"), F.sum(pos * F.col("core")).alias("core"), F.sum(pos * F.col("wide")).alias("wide"))
-    share = lambda c: F.round(F.when(F.col("all") > 0, F.col(c) / F.col("all")).otherwise(F.col(c)), 6).alias(c)
-    return g.join(size_q, "query").join(weight, "query").select("query", "doc", "score", "n_q", "n_core", "n_wide", share("core"), share("wide"))
-
-
-def registry_search(index: DataFrame, queries: DataFrame, doc_numbers: DataFrame, query_numbers: DataFrame, k: int = 5, least_terms: int = 3, core: float = 0.6, wide: float = 0.8) -> DataFrame:
-    """(query, doc, score, score_rel, n_terms): the best k per query that pass the relative cut and one of two paths.
+    df, total = _totals(index)
+    df = written(df.join(F.broadcast(total), F.lit(True)).withColumn("idf", _okapi()))
+    mean = df.agg((epsilon * F.avg("idf")).alias("mean"))  # one row
+    distinct = queries.select(F.col("query").cast("long").alias("query"), "token").distinct()
+    known = distinct.join(df.join(F.broadcast(mean), F.lit(True)).select("token", "avg", F.when(F.col("idf") < 0, F.col("mean")).otherwise(F.col("idf")).alias("idf")), "token", "left")
+    terms = known.groupBy("query").agg(F.count("*").alias("n_q"), F.sum(F.greatest("idf", F.lit(0.0))).alias("every"), F.sort_array(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("idf", "token"))), asc=False).alias("terms"), F.max("avg").alias("avg")).where("size(terms) > 0")
+    asked_numbers = F.filter(F.coalesce("numbers", F.array().cast("array<string>")), lambda x: ~((F.length(x) <= 9) & x.cast("int").between(1900, 2100)))
+    numbers = query_numbers.select(F.col("query").cast("long").alias("query"), number_tokens(asked_numbers).alias("numbers"))
+    asked = written(terms.join(numbers, "query", "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<string>"))))
 
-    A path wants ``least_terms`` distinct terms (all, if the query has fewer), its share of the query's weight, and one number
-    of the query, if it has any that is no year. The first path looks at claim and title, the second at the excerpt's first
-    sentence as well. doc_numbers (doc, core_numbers, wide_numbers) and query_numbers (query, numbers) hold arrays.
-    """
-    near = relative_cut(covered(index, queries), k=1 << 30).join(doc_numbers, "doc", "left").join(query_numbers, "query", "left")
-    asked = F.filter(F.coalesce("numbers", F.array().cast("array<string>")), lambda x: ~((F.length(x) <= 9) & x.cast("int").between(1900, 2100)))
-    number = lambda c: (F.size(asked) == 0) | F.coalesce(F.arrays_overlap(asked, F.col(c)), F.lit(False))
-    path = lambda n, share, least, nums: (F.col(n) >= F.least(F.lit(least_terms), F.col("n_q"))) & (F.col(share) >= least) & number(nums)
-    by_wide, by_core = path("n_wide", "wide", wide, "wide_numbers"), path("n_core", "core", core, "core_numbers")
-    passed = near.where(by_wide | by_core).select("query", "doc", "score", F.when(by_wide, F.col("wide")).otherwise(F.col("core")).alias("score_rel"), F.when(by_wide, F.col("n_wide")).otherwise(F.col("n_core")).alias("n_terms"))
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair, rows = _Pair(batch, i, 0.0), []
+                pair.cover(batch, i)
+                for j, q in enumerate(pair.query):
+                    if pair.terms[j] and (got := _passing(pair, j, least_terms, core, wide, k)) is not None:
+                        rows.append((np.full(len(got[0]), q), *got))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["query", "doc", "score", "score_rel", "n_terms"])
+
+    near = _pairs(index, asked).mapInArrow(found, "query long, doc long, score double, score_rel double, n_terms long")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return passed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    near = near.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= k) & (F.col("score") >= least)).drop("_r").withColumn("units", F.round(F.col("score") * 10000).cast("long"))
+    near = written(near.withColumn("half", F.expr("units div 2")))
+    scored = asked.select("query", "terms", "avg").join(near.groupBy("query").agg(F.collect_set("half").alias("halves")), "query")
+    sides = written(_counted(index, written(scored), False).withColumn("others", F.col("found") - 1))
+    between = sides.where("others > 0 AND others = 2 * below")
+    edges = _counted(index, written(scored.drop("halves").join(between.groupBy("query").agg(F.collect_set("half").alias("halves")), "query")), True)
+    edges = edges.select("query", "half", F.round((F.col("low") + F.col("high")) * 10000).cast("long").alias("middle"))
+    near = near.join(sides, ["query", "half"]).join(edges, ["query", "half"], "left")
+    below = F.when(F.col("others") == 0, True).when(F.col("others") == 2 * F.col("below"), F.col("middle") <= F.col("units")).otherwise(2 * F.col("below") > F.col("others"))
+    return near.where(below & (F.col("score") >= F.round(0.5 * F.col("best"), 4))).select("query", "doc", "score", "score_rel", "n_terms")

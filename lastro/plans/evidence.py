@@ -129,12 +129,14 @@ def _sentence(c):
 def j01_bm25(s, d):
     t = table(s, d, "checagens").select("checagem_id", "titulo", "afirmacao_checada", "trecho", _sentence(F.col("trecho")).alias("frase"))
     core = F.concat_ws(" ", "afirmacao_checada", "titulo")
-    index = written(se.field_postings(t, "checagem_id", n.content_tokens(F.col("afirmacao_checada")), n.content_tokens(F.col("titulo")), F.slice(n.content_tokens(F.col("trecho")), 1, 80), n.content_tokens(F.col("frase"))))
+    numbers = lambda c: se.number_tokens(n.numbers(c))
+    index = se.index(t, "checagem_id", [
+        (n.content_tokens(F.col("afirmacao_checada")), 3, se.CORE | se.WIDE), (n.content_tokens(F.col("titulo")), 2, se.CORE | se.WIDE), (F.slice(n.content_tokens(F.col("trecho")), 1, 80), 1, 0), (n.content_tokens(F.col("frase")), 0, se.WIDE),
+        (numbers(core), 0, se.CORE_NUMBER), (numbers(F.concat_ws(" ", core, "frase")), 0, se.WIDE_NUMBER),
+    ])
     asked = t.where("checagem_id % 20 = 0")
     queries = asked.select(F.col("checagem_id").alias("query"), F.explode(F.array_distinct(n.content_tokens(F.col("titulo")))).alias("token"))
-    doc_numbers = t.select(F.col("checagem_id").alias("doc"), n.numbers(core).alias("core_numbers"), n.numbers(F.concat_ws(" ", core, "frase")).alias("wide_numbers"))
-    found = se.registry_search(index, queries, doc_numbers, asked.select(F.col("checagem_id").alias("query"), n.numbers(F.col("titulo")).alias("numbers")))
-    return found.select("query", "doc", "score", "score_rel", "n_terms")
+    return se.registry_search(index, queries, asked.select(F.col("checagem_id").alias("query"), n.numbers(F.col("titulo")).alias("numbers")))
 
 
 def j02_bm25_plus(s, d):

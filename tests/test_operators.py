@@ -194,7 +194,7 @@ def _shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize(("plan", "name"), [("records", "i24_recall"), ("evidence", "j02_bm25_plus")])
+@pytest.mark.parametrize(("plan", "name"), [("records", "i24_recall"), ("evidence", "j02_bm25_plus"), ("evidence", "j01_bm25")])
 def test_search_moves_no_pairs(spark, tmp_path, plan, name):
     """As SQL, on records that share words with all others, in several blocks, with ties, empty fields and words of most records."""
     import importlib
