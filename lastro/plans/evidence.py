@@ -114,9 +114,10 @@ def _queries(s, d):
     return table(s, d, "checagens").where("checagem_id % 20 = 0").select(F.col("checagem_id").alias("query"), F.explode(F.array_distinct(n.tokens(F.col("titulo")))).alias("token"))
 
 
-def _index(s, d):
-    t = table(s, d, "checagens")
-    return se.index(t, "checagem_id", [(n.tokens(F.col("afirmacao_checada")), 3, 0), (n.tokens(F.col("titulo")), 2, 0), (F.slice(n.tokens(F.col("trecho")), 1, 80), 1, 0)])
+def _index(s, d, most=80):
+    """Claim, title and excerpt of each registry record, of the excerpt its first ``most`` tokens, or all where None."""
+    t, excerpt = table(s, d, "checagens"), n.tokens(F.col("trecho"))
+    return se.index(t, "checagem_id", [(n.tokens(F.col("afirmacao_checada")), 3, 0), (n.tokens(F.col("titulo")), 2, 0), (excerpt if most is None else F.slice(excerpt, 1, most), 1, 0)])
 
 
 def _sentence(c):
@@ -140,7 +141,7 @@ def j01_bm25(s, d):
 
 
 def j02_bm25_plus(s, d):
-    return se.best(_index(s, d), _queries(s, d), 3, plus=1.0).select("query", "doc", "rank", "score")
+    return se.best(_index(s, d, None), _queries(s, d), 3, plus=1.0).select("query", "doc", "rank", "score")
 
 
 def j04_interleave(s, d):

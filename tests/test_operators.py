@@ -223,3 +223,21 @@ def test_search_moves_no_pairs(spark, tmp_path, plan, name):
     assert _shuffled(spark) - before < 100 * 2000 / 2  # half a row per pair of query and record
     want = con.execute(module.SQL[name]).df()
     assert len(want) and rows_of(got) == rows_of(want)
+
+
+def test_bm25_plus_reads_whole_excerpts(spark, tmp_path):
+    """A word behind any number of others in an excerpt finds its record and counts; as SQL without a cut of excerpts."""
+    import duckdb
+    import pandas as pd
+    from conftest import rows_of
+    from lastro.plans import evidence
+
+    filler = " ".join(f"palavra{i}" for i in range(300))
+    rows = [(20, "tesouro enterrado", None, None), (40, "palavra7 cofre", "", ""), (41, "outro assunto", "assunto", f"{filler} tesouro"), (42, "mais outro", None, f"{filler} palavra7 {filler}"), (43, "enterrado", None, "palavra7")]
+    t = pd.DataFrame(rows, columns=["checagem_id", "titulo", "afirmacao_checada", "trecho"])
+    t.to_parquet(tmp_path / "checagens.parquet", index=False)
+    con = duckdb.connect()
+    con.register("checagens", t)
+    got = evidence.QUERIES["j02_bm25_plus"](spark, str(tmp_path)).toPandas()
+    assert 41 in set(got[got["query"] == 20]["doc"])
+    assert rows_of(got) == rows_of(con.execute(evidence.SQL["j02_bm25_plus"].replace("[1:80]", "")).df())
